@@ -1,0 +1,5 @@
+"""Reserved.
+
+The workload this engine covers is batch only: it has no watermark, session or
+stateful operator, so nothing is defined here.
+"""
