@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spatiofuse.operators.nearest import interpolate
+from spatiofuse.session import cut_lineage
 
 
 def _baseline(frame: DataFrame, k: int, out: str, value: str, fold: str) -> DataFrame:
     """One join for all folds: a row's neighbours are those of another fold."""
+    frame = cut_lineage(frame.select("sensor_id", "date", "lat", "lon", fold, value))  # read by several steps
     pool = (frame.filter(F.col(value).isNotNull())
             .select("date", "lat", "lon", F.col("sensor_id").alias("id"), F.col(fold).alias("fold"), F.col(value).alias("v")))
     rows = frame.select("sensor_id", "date", "lat", "lon", F.col(fold).alias("fold"))

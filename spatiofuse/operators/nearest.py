@@ -174,18 +174,20 @@ def interpolate(queries: DataFrame, pool: DataFrame, columns: list[str], *, k: i
     return found.groupBy(*keys).agg(*[idw(found, keys, f"p_{c}", floor).alias(c) for c in columns])
 
 
-def with_nearest_cell(df: DataFrame, product: DataFrame, columns: list[str],
-                      cell_lat: str = "lat", cell_lon: str = "lon") -> DataFrame:
+def with_nearest_cell(df: DataFrame, product: DataFrame, columns: list[str], cell_lat: str = "lat",
+                      cell_lon: str = "lon", sites: DataFrame | None = None) -> DataFrame:
     """Left-join a gridded product by nearest cell (degree space) and exact date.
 
     The nearest cell is chosen among all cells of the whole product, so a cell
     without that day's value gives NULL rather than a farther cell's value.
+    ``sites`` may give the distinct (lat, lon) of ``df`` from a cheaper table, so
+    that a long plan is not evaluated twice.
     """
     wanted = [c for c in columns if c in product.columns and c not in df.columns]
     if not wanted:
         return df
     cells = product.select(F.col(cell_lat).alias("lat"), F.col(cell_lon).alias("lon")).distinct()
-    sites = df.select("lat", "lon").distinct()
+    sites = df.select("lat", "lon").distinct() if sites is None else sites
     found = nearest(sites, cells, 1, on=(), metric="degree", order=("lat", "lon"))
     mapped = df.join(found.select("lat", "lon", F.col("p_lat").alias("_clat"), F.col("p_lon").alias("_clon")),
                      ["lat", "lon"], "left")

@@ -291,6 +291,7 @@ def neighbor_features_per_fold(frame: DataFrame, value: str = "target", n_folds:
     reading is in the pool (no leak of a held-out value); ``strict=False`` always
     removes it, for parity with pipelines that do.
     """
+    frame = cut_lineage(frame.select("sensor_id", "date", "lat", "lon", "fold", value))  # read by several steps
     mean, pairs = pool_profile(frame, None, value, radii)
     pool = frame.filter(F.col(value).isNotNull())
     grand = F.lit(mean)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from spatiofuse.functions.scalar import round_all, with_target
 from spatiofuse.operators.folds import with_sensor_folds
 from spatiofuse.plans.features import Sources
+from spatiofuse.session import cut_lineage
 from spatiofuse.sources import ingest
 from spatiofuse.sources.derived import Inputs
 
+# Registered queries by name, and the SQL that must give the same rows.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,8 +52,9 @@ def reference_daily(i: Inputs) -> DataFrame:
 
 
 def sources(i: Inputs) -> Sources:
+    """Feature sources; the daily products are written once, as a real run would."""
     sensor_elevation, tract_elevation = ingest.elevation_maps(i.elevation_documents)
     return Sources(
-        tracts=i.tracts, smoke=i.smoke, aerosol=i.daily_cells, sensor_elevation=sensor_elevation,
-        tract_elevation=tract_elevation, forecast=ingest.forecast_daily(i.hourly_forecast),
-        reanalysis=ingest.reanalysis_daily(i.hourly_species, i.hourly_boundary_layer), membership=i.membership)
+        tracts=i.tracts, smoke=i.smoke, aerosol=cut_lineage(i.daily_cells), sensor_elevation=sensor_elevation,
+        tract_elevation=tract_elevation, forecast=cut_lineage(ingest.forecast_daily(i.hourly_forecast)),
+        reanalysis=cut_lineage(ingest.reanalysis_daily(i.hourly_species, i.hourly_boundary_layer)), membership=i.membership)

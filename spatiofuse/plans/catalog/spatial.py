@@ -10,6 +10,7 @@ from spatiofuse.operators.folds import held_out_ids
 from spatiofuse.plans import features
 from spatiofuse.plans.catalog.base import folded, panel, query, reference_daily, sources
 from spatiofuse.plans.catalog.sqltext import deg, hav, out, sql
+from spatiofuse.session import cut_lineage
 from spatiofuse.sources import ingest
 
 NBR = " ".join(c for c in C.NEIGHBOR_COLUMNS if "count" not in c)
@@ -161,7 +162,7 @@ SITE_PAIRS = f"""SELECT *, row_number() OVER (PARTITION BY site_id, date ORDER B
 
 
 def smoky_pool(i):
-    return features.with_smoke(panel(i), i.smoke)
+    return cut_lineage(features.with_smoke(panel(i), i.smoke))
 
 
 @query("idw_field_sampling", sql(out("""SELECT site_id, date, SUM(temperature*w)/SUM(w) AS temperature, SUM(humidity*w) / SUM(CASE WHEN humidity IS NOT NULL THEN w END) AS humidity,
@@ -203,9 +204,9 @@ LEFT JOIN smoke s ON TRY_CAST(s.sensor_id AS BIGINT) = p.sensor_id AND s.date =
 LEFT JOIN (SELECT DISTINCT sensor_id AS id FROM panel WHERE sensor_id % 2 = 0 AND sensor_id < 150 AND sensor_id % 3 <> 0) e ON e.id = p.sensor_id % 150""",
     "traffic_proximity diesel_pm_proximity elevation"), "panel", "tracts", "smoke"))
 def attribute_joins(i):
-    src = sources(i)
+    elevation = ingest.elevation_maps(i.elevation_documents)
     df = features.with_smoke(features.with_tract_columns(panel(i), i.tracts, C.PROXIMITY_COLUMNS), i.smoke)
-    df = features.with_elevation(df, src.sensor_elevation, src.tract_elevation)
+    df = features.with_elevation(df, *elevation)
     return df.select("sensor_id", "date", "traffic_proximity", "diesel_pm_proximity", "hms_smoke", "elevation")
 
 
@@ -244,7 +245,7 @@ def site_features(i):
 
 
 PIX = """SELECT sensor_id, date, pm25, humidity, r::BIGINT AS "row", c::BIGINT AS col, (r*w + c)::BIGINT AS pixel FROM (
- SELECT p.sensor_id, p.date, p.pm25, p.humidity, round_even((p.lat - i0*0.1::DOUBLE)/0.1::DOUBLE, 0)::DOUBLE AS r, round_even((p.lon - j0*0.1::DOUBLE)/0.1::DOUBLE, 0)::DOUBLE AS c,
+ SELECT p.sensor_id, p.date, p.pm25, p.humidity, round_even((p.lat - round(i0*0.1::DOUBLE, 6))/0.1::DOUBLE, 0)::DOUBLE AS r, round_even((p.lon - round(j0*0.1::DOUBLE, 6))/0.1::DOUBLE, 0)::DOUBLE AS c,
    i1 - i0 + 1 AS h, j1 - j0 + 1 AS w FROM panel p,
  (SELECT floor(MIN(lat)/0.1::DOUBLE - 1)::BIGINT AS i0, ceil(MAX(lat)/0.1::DOUBLE + 1)::BIGINT AS i1, floor(MIN(lon)/0.1::DOUBLE - 1)::BIGINT AS j0, ceil(MAX(lon)/0.1::DOUBLE + 1)::BIGINT AS j1 FROM tracts)
  WHERE p.sensor_id IN (SELECT CAST(sensor_id AS BIGINT) FROM membership WHERE lower(in_tx) = 'true'))
@@ -423,7 +424,7 @@ def availability_flags(i):
     "panel", "tracts", grid=GRID_SQL, te="""SELECT lpad(t.GEOID, 11, '0') AS GEOID, t.lat, t.lon, (CAST(t.GEOID AS BIGINT)*11 % 800)::DOUBLE AS e FROM tracts t
  WHERE CAST(t.GEOID AS BIGINT) IN (SELECT sensor_id FROM panel WHERE sensor_id % 2 = 0 AND sensor_id < 150 AND sensor_id % 3 <> 0)"""))
 def elevation_plane(i):
-    elevation = ingest.tract_lookup(i.tracts).join(sources(i).tract_elevation, "GEOID")
+    elevation = ingest.tract_lookup(i.tracts).join(ingest.elevation_maps(i.elevation_documents)[1], "GEOID")
     g = coarse_grid(i)
     plane = grid.static_plane(elevation, "elevation", g, i.spark)
     return grid.over_days(plane, panel(i), g, "elevation").select("date", "row", "col", "value")

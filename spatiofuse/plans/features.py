@@ -12,6 +12,7 @@ from spatiofuse.functions import scalar as S
 from spatiofuse.functions.ordering import first_per_key
 from spatiofuse.operators.nearest import idw, nearest, nearest_other, with_nearest_cell
 from spatiofuse.operators.neighbors import with_neighbor_features
+from spatiofuse.session import cut_lineage
 from spatiofuse.sources import ingest
 
 
@@ -67,17 +68,19 @@ def nearest_sensor_distance(panel: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("sensor_id"), F.col("distance").alias("dist_to_nearest_sensor"))
 
 
-def with_external(df: DataFrame, forecast: DataFrame | None, reanalysis: DataFrame | None) -> DataFrame:
+def with_external(df: DataFrame, forecast: DataFrame | None, reanalysis: DataFrame | None,
+                  sites: DataFrame | None = None) -> DataFrame:
     """Attach optional gridded products; a missing product or column gives NULL columns."""
     for product, names in ((forecast, C.FORECAST_FEATURES), (reanalysis, C.REANALYSIS_FEATURES)):
         if product is not None:
-            df = S.with_missing_columns(with_nearest_cell(df, product, names), names)
+            df = S.with_missing_columns(with_nearest_cell(df, product, names, sites=sites), names)
     return df
 
 
-def sensor_day_features(panel: DataFrame, src: Sources) -> DataFrame:
+def sensor_day_features(panel: DataFrame, src: Sources, sites: DataFrame | None = None) -> DataFrame:
     """Every static feature of the panel; columns already present are kept as they are."""
     df = panel
+    sites = panel.select("lat", "lon").distinct() if sites is None else sites
     if src.tracts is not None and "GEOID" in df.columns:
         df = with_tract_columns(df, src.tracts, C.PROXIMITY_COLUMNS)
     df = S.with_interactions(S.with_calendar(df))
@@ -90,7 +93,7 @@ def sensor_day_features(panel: DataFrame, src: Sources) -> DataFrame:
     df = df.withColumn("hms_smoke", F.coalesce(F.col("hms_smoke"), F.lit(0)).cast("short")
                        if "hms_smoke" in df.columns else F.lit(0).cast("short"))
     if src.aerosol is not None:
-        df = with_nearest_cell(df, src.aerosol, ["aod", "cams_pm25", "dust"], "cell_lat", "cell_lon")
+        df = with_nearest_cell(df, src.aerosol, ["aod", "cams_pm25", "dust"], "cell_lat", "cell_lon", sites)
     if "elevation" not in df.columns:
         if src.sensor_elevation is not None:
             df = with_elevation(df, src.sensor_elevation, src.tract_elevation)
@@ -118,8 +121,12 @@ def training_frame(panel: DataFrame, src: Sources, correction: str = "corrected"
 
     Out-of-region sensors serve as neighbours before they are dropped as targets.
     """
-    df = S.with_target(sensor_day_features(panel, src), correction)
-    df = with_external(with_neighbor_features(df), src.forecast, src.reanalysis)
+    base = cut_lineage(S.with_target(panel, correction))  # read several times below
+    sites = base.select("lat", "lon").distinct()
+    df = sensor_day_features(base, src, sites)
+    around = with_neighbor_features(base.select("sensor_id", "date", "lat", "lon", "target"))
+    df = df.join(around.select("sensor_id", "date", *C.NEIGHBOR_COLUMNS), ["sensor_id", "date"])
+    df = with_external(df, src.forecast, src.reanalysis, sites)
     if src.membership is not None:
         outside = ingest.out_of_region_ids(src.membership)
         if in_region_only:
@@ -168,24 +175,27 @@ def site_sensor_distance(sites: DataFrame, panel: DataFrame) -> DataFrame:
 def site_features(sites: DataFrame, pool: DataFrame, src: Sources) -> DataFrame:
     """The training features at arbitrary (site_id, date, lat, lon), from sensors and products only.
 
-    ``pool`` is the sensor-day panel with ``target`` and ``hms_smoke``; a site never
+    One row per (site_id, date). ``pool`` is the sensor-day panel with ``target`` and ``hms_smoke``; a site never
     has a reading of its own, so its id can collide with no sensor's.
     """
     s = ingest.canonical_coordinates(sites.withColumn("date", F.to_date("date")))
-    s = s.withColumn("sensor_id", F.concat(F.lit("site_"), F.col("site_id").cast("string")))
-    s = s.join(sampled_sensor_fields(s, pool), ["date", "lat", "lon"], "left")
+    s = cut_lineage(s.withColumn("sensor_id", F.concat(F.lit("site_"), F.col("site_id").cast("string"))))
+    places = s.select("lat", "lon").distinct()
+    base = s.select("sensor_id", "date", "lat", "lon")
+    s = s.join(sampled_sensor_fields(base, pool), ["date", "lat", "lon"], "left")
     s = s.withColumn("hms_smoke", F.coalesce("hms_smoke", F.lit(0)).cast("short"))
     if src.aerosol is not None:
-        s = with_nearest_cell(s, src.aerosol, ["aod", "cams_pm25", "dust"], "cell_lat", "cell_lon")
+        s = with_nearest_cell(s, src.aerosol, ["aod", "cams_pm25", "dust"], "cell_lat", "cell_lon", places)
     if src.tracts is not None:
-        s = s.join(nearest_tract(s, src.tracts, C.PROXIMITY_COLUMNS), ["lat", "lon"], "left")
+        s = s.join(nearest_tract(places, src.tracts, C.PROXIMITY_COLUMNS), ["lat", "lon"], "left")
         if src.tract_elevation is not None:
             s = s.join(src.tract_elevation, "GEOID", "left")
-    s = s.join(site_sensor_distance(s, pool), ["lat", "lon"], "left")
+    s = s.join(site_sensor_distance(places, pool), ["lat", "lon"], "left")
     s = s.withColumn("dist_to_coast", S.distance_to_points("lat", "lon"))
     s = S.with_interactions(S.with_calendar(s))
-    s = with_neighbor_features(s, pool, "target")
-    s = with_external(s, src.forecast, src.reanalysis)
+    around = with_neighbor_features(base, pool, "target")
+    s = s.join(around.select("sensor_id", "date", *C.NEIGHBOR_COLUMNS), ["sensor_id", "date"])
+    s = with_external(s, src.forecast, src.reanalysis, places)
     return S.with_missing_columns(s, C.PHYSICAL_FEATURES)
 
 

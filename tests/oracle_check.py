@@ -23,7 +23,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].astype(object)
-    text = df.map(lambda v: "∅" if pd.isna(v) else (repr(round(float(v), 6) + 0.0) if isinstance(v, float) else str(v)))
+    text = df.map(lambda v: "∅" if pd.isna(v) else (repr(round(float(v), 6) + 0.0) if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)))
     return text.sort_values(list(text.columns)).reset_index(drop=True)
 
 
