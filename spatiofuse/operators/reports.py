@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from spatiofuse.functions import scalar as S
 from spatiofuse.functions.ordering import sampled
 from spatiofuse.functions.quantiles import exact_quantiles
 
+# Grouped functions travel to the executors by value: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def sensor_inventory(panel: DataFrame, key: str = "sensor_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Median coordinates and record count per sensor (or site).

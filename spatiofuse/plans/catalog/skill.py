@@ -372,7 +372,10 @@ def external_validation(i):
     src, frame, bundle = deployed(i)
     rows = cut_lineage(validate.external_rows(reference_daily(i), smoky_pool(i), src))
     report = validate.external_validation(rows, bundle.predict, n_boot=100)
-    return report["by_site"].join(report["pooled"].select(F.col("r2").alias("pooled_r2"), F.col("n").alias("pooled_n")))
+    names = ["r2", "rmse", "mae", "bias", "n"]
+    pooled = report["pooled"].select(F.lit("all").alias("site_id"), *names)
+    yearly = report["by_year"].select(F.col("year").cast("string").alias("site_id"), *names)
+    return report["by_site"].select("site_id", *names).unionByName(pooled).unionByName(yearly)
 
 
 @query("deployment_stack")
