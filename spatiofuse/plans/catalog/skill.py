@@ -331,7 +331,7 @@ def cross_validated_learners(i):
 @query("quantile_heads")
 def quantile_heads(i):
     frame, overrides = learning_frame(i)
-    return learners.quantile_out_of_fold(frame, SMALL_FEATURES, overrides=overrides, iterations=4)
+    return learners.quantile_out_of_fold(frame, SMALL_FEATURES, overrides=overrides, iterations=2)
 
 
 @query("permutation_importance")
