@@ -5,8 +5,8 @@ How a probe finds its neighbours without comparing all rows of a day:
 1. rows collapse to the finest cells (about 300 m) with their pool counts;
 2. a probe cell climbs to the first coarser cell that holds enough pool rows,
    which bounds how far its k-th neighbour can be;
-3. the bound is tightened from that cell's own children, and only finest cells
-   closer than the bound are paired with the probe cell;
+3. the bound is tightened from that cell's own sub-cells, then again from the
+   finest cells, and only cells closer than the bound are paired with the probe;
 4. probe and pool rows of the surviving cell pairs are compared and ranked.
 
 Steps 1-3 touch cell counts only. Copies at one place are reduced to the first
@@ -23,7 +23,7 @@ from spatiofuse.constants import KM_PER_DEGREE
 from spatiofuse.functions import cells as G
 
 FINEST = 17
-LEVELS = [17, 15, 13, 11, 9, 7, 5, 3, 1, 0]
+LEVELS = list(range(FINEST, -1, -1))
 
 
 def _size(level) -> Column:
@@ -39,8 +39,13 @@ def _finest(df: DataFrame, lat: str, lon: str, i: str, j: str) -> DataFrame:
     return df.withColumns({i: G.lat_index(lat, s), j: G.lon_index(lon, s, F.lit(2**FINEST).cast("long"))})
 
 
-def _ancestor(index: str) -> Column:
-    return F.floor(F.col(index) / F.pow(F.lit(2.0), F.lit(FINEST) - F.col("m"))).cast("long")
+def _ancestor(index: str, level: str = "m") -> Column:
+    return F.floor(F.col(index) / F.pow(F.lit(2.0), F.lit(FINEST) - F.col(level))).cast("long")
+
+
+def _finer(level: str) -> Column:
+    """Level four halvings below."""
+    return F.least(F.col(level) + 4, F.lit(FINEST))
 
 
 def _at_levels(df: DataFrame, i: str, j: str) -> DataFrame:
@@ -92,26 +97,43 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ...]
                .withColumn("m", F.coalesce("m", F.lit(0))))
 
     s_fine = 360.0 / 2**FINEST
-    q_lat_c, q_lon_c = G.lat_centre("qi", F.lit(s_fine)), G.lon_centre("qj", F.lit(s_fine))
-    p_lat_c, p_lon_c = G.lat_centre("pi", F.lit(s_fine)), G.lon_centre("pj", F.lit(s_fine))
-    margin = G.half_diagonal(s_fine, metric) * 2 + F.lit(1e-12)
-    centre = dist(q_lat_c, q_lon_c, p_lat_c, p_lon_c)
+    q_key = [*on, "qi", "qj", *side]
+    q_lat_c, q_lon_c = F.col("q_clat"), F.col("q_clon")
+    q_cells = q_cells.withColumns({"q_clat": G.lat_centre("qi", F.lit(s_fine)), "q_clon": G.lon_centre("qj", F.lit(s_fine))})
     eligible = F.lit(True)
     if not_same:
         eligible = ~F.col(not_same).eqNullSafe(F.col(f"p_{not_same}"))
 
-    # 3a. bound on the k-th distance from the ancestor's own children
+    def centred(df: DataFrame, i: str, j: str, size: Column) -> DataFrame:
+        """Precompute a cell's centre and half-diagonal, so that pairs only pay for one distance."""
+        return df.withColumns({"c_lat": G.lat_centre(i, size), "c_lon": G.lon_centre(j, size),
+                               "c_half": G.half_diagonal(size, metric)})
+
+    def span() -> tuple[Column, Column]:
+        """Smallest and largest distance between points of a probe cell and of a pool cell."""
+        centre = dist(q_lat_c, q_lon_c, "c_lat", "c_lon")
+        margin = G.half_diagonal(s_fine, metric) + F.col("c_half") + F.lit(1e-12)
+        return centre - margin, centre + margin
+
+    def kth(df: DataFrame) -> Column:
+        """Upper bound on the k-th distance from cells of known count and largest distance."""
+        seen = F.sum("np").over(W.partitionBy(*q_key).orderBy("far").rowsBetween(W.unboundedPreceding, W.currentRow))
+        return F.when(seen >= k, F.col("far"))
+
+    # 3a. first bound: the ancestor's children four halvings down
+    children = (ancestors.withColumn("f", _finer("m"))
+                .withColumns({"bi": _ancestor("pi", "f"), "bj": _ancestor("pj", "f")})
+                .groupBy(*on, "m", "ai", "aj", "f", "bi", "bj", *p_side).agg(F.sum("np").alias("np")))
+    children = centred(children, "bi", "bj", _size(F.col("f")))
+    low, far = span()
     own = (q_cells.withColumns({"ai": _ancestor("qi"), "aj": _ancestor("qj")})
-           .join(ancestors, [*on, "m", "ai", "aj"]).filter(eligible)
-           .withColumn("far", centre + margin))
-    running = (W.partitionBy(*on, "qi", "qj", *side).orderBy("far")
-               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    bound = (own.withColumn("_seen", F.sum("np").over(running)).filter(F.col("_seen") >= k)
-             .groupBy(*on, "qi", "qj", *side).agg(F.min("far").alias("bound")))
-    q_cells = (q_cells.join(bound, [*on, "qi", "qj", *side], "left")
+           .join(children, [*on, "m", "ai", "aj"]).filter(eligible)
+           .withColumn("far", far))
+    bound = own.withColumn("_k", kth(own)).groupBy(*q_key).agg(F.min("_k").alias("bound"))
+    q_cells = (q_cells.join(bound, q_key, "left")
                .withColumn("m", F.when(F.col("bound").isNotNull(), F.col("m")).otherwise(0)))
 
-    # 3b. cells of that level within the bound, then their finest cells within the bound
+    # 3b. cells of the ancestor's level within the bound, then their children, then finest cells within it
     size = _size(F.col("m"))
     reach = F.coalesce(F.col("bound"), F.lit(0.0))
     lat_pad = reach / F.lit(scale) + F.lit(s_fine)
@@ -124,9 +146,17 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ...]
               .withColumn("ai", F.explode(F.sequence(F.greatest(i_lo, F.lit(0)), F.greatest(i_hi, F.lit(0)))))
               .withColumn("_j", F.explode(F.sequence(j_lo, F.least(j_hi, j_lo + _count(F.col("m")) - 1))))
               .withColumn("aj", F.pmod("_j", _count(F.col("m")))).drop("_j"))
-    close = F.col("bound").isNull() | (centre - margin <= F.col("bound"))
-    pairs = (around.join(ancestors, [*on, "m", "ai", "aj"]).filter(eligible).filter(close)
-             .select(*on, "qi", "qj", *side, "pi", "pj", *p_side))
+    unbounded = F.col("bound").isNull()
+    near = (around.join(children, [*on, "m", "ai", "aj"]).filter(eligible)
+            .filter(unbounded | (low <= F.col("bound")))
+            .select(*q_key, "q_clat", "q_clon", "bound", F.col("f").alias("m"), F.col("bi").alias("ai"), F.col("bj").alias("aj"), *p_side))
+    finest = centred(ancestors, "pi", "pj", F.lit(s_fine))
+    fine = (near.join(finest, [*on, "m", "ai", "aj", *p_side])
+            .withColumns({"low": low, "far": far}).filter(unbounded | (F.col("low") <= F.col("bound"))))
+    tight = F.min("_k").over(W.partitionBy(*q_key))
+    pairs = (fine.withColumn("_k", kth(fine)).withColumn("_tight", tight)
+             .filter(F.col("_tight").isNull() | (F.col("low") <= F.col("_tight")))
+             .select(*q_key, "pi", "pj", *p_side))
 
     # 4. rows of the surviving cell pairs
     ranked = W.partitionBy(*probe).orderBy("distance", *[f"p_{c}" for c in order])
