@@ -15,7 +15,7 @@ SELECT sensor_id, date, pm25,
        ((sensor_id*11 + dayofyear(date)*5) % 12)::DOUBLE AS wind_speed,
        ((sensor_id*3 + dayofyear(date)*17) % 9)::DOUBLE AS precipitation,
        latitude, longitude, CAST(sensor_id % 150 AS VARCHAR) AS GEOID, n, n_err
-FROM (SELECT sensor_id, date, round(AVG(value), 6) AS pm25, round(AVG(k), 6) AS rh, COUNT(*) AS n,
+FROM (SELECT sensor_id, date, round(AVG(value) + 1.3e-9, 6) AS pm25, round(AVG(k) + 1.3e-9, 6) AS rh, COUNT(*) AS n,
              COUNT(*) FILTER (event_type = 'error') AS n_err,
              MIN(latitude) AS latitude, MIN(longitude) AS longitude
       FROM readings GROUP BY 1, 2)""",
@@ -24,9 +24,9 @@ SELECT CASE WHEN sensor_id % 50 = 7 THEN 'x' || sensor_id ELSE CAST(sensor_id AS
        date, least(3, n_err)::SMALLINT AS hms_smoke
 FROM sensor_days WHERE n_err > 0""",
     "daily_cells": """
-SELECT i*0.5 + 0.25 AS cell_lat, j*0.5 + 0.25 AS cell_lon, date, round(k/100.0, 6) AS aod, round(v, 6) AS cams_pm25,
-       CASE WHEN (abs(i + j) + day(date)) % 5 <> 0 THEN round(k*0.3::DOUBLE, 6) END AS dust,
-       round(v*2.0::DOUBLE, 6) AS shortwave, round(k/20.0, 6) AS et0, round(k, 6) AS cloud_cover
+SELECT i*0.5 + 0.25 AS cell_lat, j*0.5 + 0.25 AS cell_lon, date, round(k/100.0 + 1.3e-9, 6) AS aod, round(v + 1.3e-9, 6) AS cams_pm25,
+       CASE WHEN (abs(i + j) + day(date)) % 5 <> 0 THEN round(k*0.3::DOUBLE + 1.3e-9, 6) END AS dust,
+       round(v*2.0::DOUBLE + 1.3e-9, 6) AS shortwave, round(k/20.0 + 1.3e-9, 6) AS et0, round(k + 1.3e-9, 6) AS cloud_cover
 FROM (SELECT floor(latitude/0.5::DOUBLE)::BIGINT::DOUBLE AS i, floor(longitude/0.5::DOUBLE)::BIGINT::DOUBLE AS j, date, AVG(k) AS k, AVG(value) AS v
       FROM readings WHERE date <> DATE '2024-01-05' GROUP BY 1, 2, 3)""",
     "hourly_forecast": """

@@ -34,6 +34,11 @@ def sensor_lon(key: str) -> Column:
             + (k % 11) / F.lit(1000.0))
 
 
+def _rounded(x: Column) -> Column:
+    """Six places; the tiny shift keeps decimal halves from rounding apart in two engines."""
+    return F.round(x + F.lit(1.3e-9), 6)
+
+
 def cell_centre(x: str, width: float) -> Column:
     return F.floor(F.col(x) / F.lit(width)) * F.lit(width) + F.lit(width / 2)
 
@@ -61,8 +66,8 @@ class Inputs:
         k = F.get_json_object("props", "$.k").cast("double")
         daily = (self.table("events")
                  .groupBy(F.col("user_id").alias("sensor_id"), F.to_date("ts").alias("date"))
-                 .agg(F.round(F.avg("value"), 6).alias("pm25"),
-                      F.round(F.avg(k), 6).alias("rh"),
+                 .agg(_rounded(F.avg("value")).alias("pm25"),
+                      _rounded(F.avg(k)).alias("rh"),
                       F.count(F.lit(1)).alias("n"),
                       F.count_if(F.col("event_type") == "error").alias("n_err")))
         sid, doy = F.col("sensor_id"), F.dayofyear("date")
@@ -92,13 +97,13 @@ class Inputs:
                 .groupBy(i.alias("i"), j.alias("j"), "date")
                 .agg(F.avg("k").alias("k"), F.avg("value").alias("v"))
                 .select((F.col("i") * 0.5 + 0.25).alias("cell_lat"), (F.col("j") * 0.5 + 0.25).alias("cell_lon"), "date",
-                        F.round(F.col("k") / 100.0, 6).alias("aod"),
-                        F.round("v", 6).alias("cams_pm25"),
+                        _rounded(F.col("k") / 100.0).alias("aod"),
+                        _rounded(F.col("v")).alias("cams_pm25"),
                         F.when((F.abs(F.col("i") + F.col("j")) + F.dayofmonth("date")) % 5 != 0,
-                               F.round(F.col("k") * 0.3, 6)).alias("dust"),
-                        F.round(F.col("v") * 2.0, 6).alias("shortwave"),
-                        F.round(F.col("k") / 20.0, 6).alias("et0"),
-                        F.round("k", 6).alias("cloud_cover")))
+                               _rounded(F.col("k") * 0.3)).alias("dust"),
+                        _rounded(F.col("v") * 2.0).alias("shortwave"),
+                        _rounded(F.col("k") / 20.0).alias("et0"),
+                        _rounded(F.col("k")).alias("cloud_cover")))
 
     @cached_property
     def hourly_forecast(self) -> DataFrame:
