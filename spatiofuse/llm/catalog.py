@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiofuse.llm import lines, quality
+from spatiofuse.llm import lines, packing, quality, simhash
+
+#: The packing tokenizer by name, among the installed public ones.
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,11 +26,23 @@ def query(name: str, table: str, sql: str | None = None):
     return register
 
 
+@query("op2_best_fit_packing", "documents")
+def op2(docs: DataFrame) -> DataFrame:
+    done = packing.packed_documents(docs, public_tokenizers.path(WORD_TOKENIZER), with_ids=False)
+    return done.withColumnRenamed("id", "doc_id")
+
+
 @query("op4_quality_rules", "documents")
 def op4(docs: DataFrame) -> DataFrame:
     return quality.judged(docs)
 
 
+@query("op8_simhash_near_dedup", "documents")
+def op8(docs: DataFrame) -> DataFrame:
+    done = simhash.grouped(docs)
+    return done.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query("op10_line_dedup", "documents")
 def op10(docs: DataFrame) -> DataFrame:
     done = lines.deduplicated(docs)
