@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiofuse.llm import lines, packing, quality, simhash
+from spatiofuse.llm import bloom_lm, chat, lines, packing, quality, sharding, simhash
 
 #: The packing tokenizer by name, among the installed public ones.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -37,12 +37,39 @@ def op4(docs: DataFrame) -> DataFrame:
     return quality.judged(docs)
 
 
+@query("op6_sharding", "documents")
+def op6(docs: DataFrame) -> DataFrame:
+    done = sharding.sharded(sharding.document_sizes(docs), ["id", "hash"])
+    return done.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Said by both rows of the extra conversation.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query("op7_chat_formatting", "conversations")
+def op7(rows: DataFrame) -> DataFrame:
+    probe = rows.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    rows = rows.select("conv_id", "turn", "role", "text").unionByName(probe)
+    done = chat.formatted(chat.canonical(chat.records_of_turns(rows)))
+    read = done.select("conv_id", "layout", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    lines_of = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines_of, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "layout")
+
+
 @query("op8_simhash_near_dedup", "documents")
 def op8(docs: DataFrame) -> DataFrame:
     done = simhash.grouped(docs)
     return done.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op9_bloom_lm_scoring", "documents")
+def op9(docs: DataFrame) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return bloom_lm.scored(docs, held_out).withColumnRenamed("id", "doc_id")
+
+
 @query("op10_line_dedup", "documents")
 def op10(docs: DataFrame) -> DataFrame:
     done = lines.deduplicated(docs)
