@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiofuse.llm import bloom_lm, chat, lines, packing, quality, sharding, simhash
+from spatiofuse.llm import bloom_lm, chat, cover_tree, lines, packing, quality, sharding, simhash, url_templates
 
 #: The packing tokenizer by name, among the installed public ones.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,12 @@ def query(name: str, table: str, sql: str | None = None):
     return register
 
 
+@query("op1_exact_top_k", "embeddings")
+def op1(vectors: DataFrame) -> DataFrame:
+    done = cover_tree.top_k(vectors, F.col("vec_id") % 100 == 0)
+    return done.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
 @query("op2_best_fit_packing", "documents")
 def op2(docs: DataFrame) -> DataFrame:
     done = packing.packed_documents(docs, public_tokenizers.path(WORD_TOKENIZER), with_ids=False)
@@ -37,6 +43,20 @@ def op4(docs: DataFrame) -> DataFrame:
     return quality.judged(docs)
 
 
+#: Declared rules of the url filter.
+RULES = {"allow": ["com/", "www.example.com/en/"], "block": ["example.com/en/", "net/es/", "net/fr/"]}
+
+
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's label is that of the same id: good if of quality and not toxic."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    done = url_templates.judged(spark.read.parquet(f"{folder}/pages.parquet"), labels.filter("id is not null and good is not null"), RULES)
+    return done.withColumnRenamed("id", "page_id")
+
+
+QUERIES["op5_url_filters"] = op5
+
+
 @query("op6_sharding", "documents")
 def op6(docs: DataFrame) -> DataFrame:
     done = sharding.sharded(sharding.document_sizes(docs), ["id", "hash"])
