@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiofuse.llm import bloom_lm, chat, cover_tree, lines, packing, quality, sharding, simhash, url_templates
+from spatiofuse.llm import bloom_lm, chat, cover_tree, lattice, lines, packing, quality, sharding, simhash, url_templates
 
 #: The packing tokenizer by name, among the installed public ones.
 WORD_TOKENIZER = "word_bpe_49k.json"
+#: The vocabulary that segmentations are sampled from.
+PIECE_MODEL = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +40,15 @@ def op2(docs: DataFrame) -> DataFrame:
     return done.withColumnRenamed("id", "doc_id")
 
 
+@query("op3_sentencepiece_sampling", "documents")
+def op3(docs: DataFrame) -> DataFrame:
+    model = public_tokenizers.path(PIECE_MODEL)
+    made = lattice.encoded(docs, model).withColumn("ids_crc32", F.crc32("ids"))
+    back = lattice.decoded(made, model)
+    return back.select(F.col("id").alias("doc_id"), "sample", "n_pieces", F.round("log_prob", 6).alias("log_prob"), F.round("log_inclusion", 6).alias("log_inclusion"), "ids_crc32",
+                       F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
+
+
 @query("op4_quality_rules", "documents")
 def op4(docs: DataFrame) -> DataFrame:
     return quality.judged(docs)
