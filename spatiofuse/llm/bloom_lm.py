@@ -1,6 +1,6 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised to levels, level = 1 + floor(log c / log 1.5),
+Counts of words and word pairs are quantised to levels, level = 1 + floor(log2 c),
 and the filter holds (n-gram, j) for every j up to the n-gram's level. A count is read
 back by probing j = 1, 2, ... until the first miss: a filter never understates a
 level, and overstates one with a chance of about 1 %. Pairs are held from a count of
@@ -44,7 +44,7 @@ from spatiofuse.llm.staging import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BASE, MIN_PAIR = 1.5, 2
+BASE, MIN_PAIR = 2.0, 2
 HEAVY = 1 << 20
 #: Bits of a block, n-gram levels meant for one, probes of each, and blocks of a segment.
 BLOCK_BITS, BLOCK_LEVELS, PROBES, SEGMENT_BLOCKS = 1 << 20, 100_000, 6, 512
@@ -52,7 +52,7 @@ BLOCK_BITS, BLOCK_LEVELS, PROBES, SEGMENT_BLOCKS = 1 << 20, 100_000, 6, 512
 CHUNK = 2_000_000
 END, START = b"\n", np.uint64(0x9E3779B97F4A7C15)
 MAX_LEVEL = 1 + int(math.log(2 ** 62) / math.log(BASE))
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 _K1, _K2, _K3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 
@@ -106,11 +106,14 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
     return np.where(k == 0, 0.0, np.sqrt(low * high))[levels]
 
 
-def _spots(hashes: np.ndarray, level: int) -> np.ndarray:
-    """Bit places in a block of each (hash, level): an array (n, PROBES)."""
-    h = _mixed(hashes + np.uint64((level * 2 + 1) * int(_K3) % (1 << 64)))
-    first, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return (first[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(BLOCK_BITS)
+def _halves(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bit place and step of the places of each (hash, level) in a block."""
+    h = _mixed(hashes + np.uint64((level * 2 + 1) * int(_K3) % (1 << 64))).view(np.int64)
+    return h & (BLOCK_BITS - 1), ((h >> 32) & 0x7FFFFFFF) | 1
+
+
+def _place(first: np.ndarray, step: np.ndarray, n: int) -> np.ndarray:
+    return (first + n * step) & (BLOCK_BITS - 1)
 
 
 def block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
@@ -121,7 +124,9 @@ def filled(hashes: np.ndarray, levels: np.ndarray) -> bytes:
     """A block's bytes with every (hash, j <= level) in it."""
     bits = np.zeros(BLOCK_BITS, bool)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        bits[_spots(hashes[levels >= j], j).ravel()] = True
+        first, step = _halves(hashes[levels >= j], j)
+        for n in range(PROBES):
+            bits[_place(first, step, n)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -130,12 +135,15 @@ def probed(segment: np.ndarray, first_block: int, blocks: int, hashes: np.ndarra
     block = block_of(hashes, blocks) - first_block
     levels = np.zeros(len(hashes), np.uint8)
     alive = np.flatnonzero((block >= 0) & (block < len(segment)))
+    base, flat = block * (BLOCK_BITS // 8), segment.ravel()
     for j in range(1, MAX_LEVEL + 1):
-        if not len(alive):
-            break
-        spots = _spots(hashes[alive], j).astype(np.int64)
-        hit = ((segment[block[alive][:, None], spots >> 3] >> (7 - (spots & 7)).astype(np.uint8)) & 1).all(axis=1)
-        alive = alive[hit]
+        first, step = _halves(hashes[alive], j)
+        for n in range(PROBES):  # most that are not there fall at the first places
+            spot = _place(first, step, n)
+            hit = (flat[base[alive] + (spot >> 3)] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
+            alive, first, step = alive[hit], first[hit], step[hit]
+            if not len(alive):
+                return levels
         levels[alive] = j
     return levels
 
@@ -237,6 +245,15 @@ def _parts(batch: pa.RecordBatch, column: int, most: int = 1_000_000):
         yield batch.slice(start)
 
 
+def _levels(segment, first: int, blocks: int, one: np.ndarray, back: np.ndarray, pairs: np.ndarray, before: list) -> list[np.ndarray]:
+    """Levels of words and pairs of some texts: what this segment knows and earlier ones have found."""
+    out = []
+    for levels, old in ((probed(segment, first, blocks, one)[back], before[0]), (probed(segment, first, blocks, pairs), before[1])):
+        held = b"".join(x or b"" for x in old)
+        out.append(levels | np.frombuffer(held, np.uint8) if held else levels)
+    return out
+
+
 def _levels_pass(df: DataFrame, first: int, shared, blocks: int) -> DataFrame:
     """Adds what one segment knows to the level bytes ``u`` (words) and ``b`` (pairs) of every text ``t``."""
     at = {c: i for i, c in enumerate(df.columns)}
@@ -248,35 +265,33 @@ def _levels_pass(df: DataFrame, first: int, shared, blocks: int) -> DataFrame:
                 ids, pairs, bounds = token_arrays(batch.column(at["t"]).to_pylist(), cache)
                 one, back = np.unique(ids, return_inverse=True)
                 arrays = batch.columns
-                for name, levels in (("u", probed(shared.value, first, blocks, one)[back]), ("b", probed(shared.value, first, blocks, pairs))):
-                    made = [levels[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
-                    old = batch.column(at[name]).to_pylist()
-                    made = [m if o is None else (np.frombuffer(o, np.uint8) | np.frombuffer(m, np.uint8)).tobytes() for m, o in zip(made, old)]
-                    arrays[at[name]] = pa.array(made, pa.binary())
+                found = _levels(shared.value, first, blocks, one, back, pairs, [batch.column(at[c]).to_pylist() for c in "ub"])
+                for name, levels in zip("ub", found):
+                    arrays[at[name]] = pa.array([levels[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())
                 yield pa.record_batch(arrays, names=df_columns)
 
     df_columns = df.columns
     return df.mapInArrow(run, df.schema)
 
 
-def _score_pass(df: DataFrame, model: Model, heavy) -> DataFrame:
-    """The model's score and the exact counts' share of heavy words; other words stay listed in ``light``."""
+def _score_pass(df: DataFrame, model: Model, heavy, first: int, shared) -> DataFrame:
+    """The last segment's pass: the model's score, and the exact counts' share of heavy words; other words stay listed in ``light``."""
     at = {c: i for i, c in enumerate(df.columns)}
     table, norm = counts_of(np.arange(MAX_LEVEL + 1)), model.tokens + 0.5 * (model.distinct + 1)
-    mix, starts = model.mix, model.text_count
+    mix, starts, blocks = model.mix, model.text_count, model.blocks
 
     def run(batches):
         cache = Hashes()
         known, logs = heavy.value
         for whole in batches:
             for batch in _parts(whole, at["t"]):
-                ids, _, bounds = token_arrays(batch.column(at["t"]).to_pylist(), cache)
+                ids, pairs, bounds = token_arrays(batch.column(at["t"]).to_pylist(), cache)
                 one, back = np.unique(ids, return_inverse=True)
+                u, b = _levels(shared.value, first, blocks, one, back, pairs, [batch.column(at[c]).to_pylist() for c in "ub"])
                 place = np.minimum(np.searchsorted(known, one), max(0, len(known) - 1))
                 hit = known[place] == one if len(known) else np.zeros(len(one), bool)
                 value = (np.where(hit, logs[place], 0.0) if len(known) else np.zeros(len(one)))[back]
                 hit = hit[back]
-                u, b = (np.frombuffer(b"".join(batch.column(at[c]).to_pylist()), np.uint8) for c in "ub")
                 c, pair = table[u], table[b]
                 before = np.empty_like(c)
                 before[1:] = c[:-1]
@@ -290,9 +305,9 @@ def _score_pass(df: DataFrame, model: Model, heavy) -> DataFrame:
                     light_h.append(h.view(np.int64))
                     light_n.append(n)
                     sizes.append(len(h))
-                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(light_h), pa.int64()), pa.array(np.concatenate(light_n), pa.int64())], names=["h", "n"])
+                rare = pa.StructArray.from_arrays([pa.array(np.concatenate(light_h), pa.int64()), pa.array(np.concatenate(light_n), pa.int64())], names=["h", "n"])
                 yield pa.record_batch([batch.column(at["id"]), batch.column(at["held_out"]), pa.array(np.diff(bounds), pa.int64()), pa.array(np.add.reduceat(hit.astype(np.int64), rows)),
-                                       pa.array(np.add.reduceat(value, rows)), pa.array(np.add.reduceat(score, rows)), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pairs)],
+                                       pa.array(np.add.reduceat(value, rows)), pa.array(np.add.reduceat(score, rows)), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), rare)],
                                       names=["id", "held_out", "n_tokens", "known", "part", "score", "light"])
 
     kind = df.schema["id"].dataType.simpleString()
@@ -306,18 +321,17 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str
     model = Model(docs.filter(~out), text)
 
     state = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text).alias("t"), F.lit(None).cast("binary").alias("u"), F.lit(None).cast("binary").alias("b"))
-    for first, table in model.segments():
-        if first:
-            state = staged(state, "lm-levels")
-        state = _levels_pass(state, first, context.broadcast(table), model.blocks)
-
     least = max(1, -(-model.tokens // HEAVY))  # at most HEAVY words can have as many
     often = model.words.filter(F.col("c") >= least).toPandas()
     keys, counts = often["h"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.float64)
     order = np.argsort(keys)
     heavy = context.broadcast((keys[order], model.smoothed(counts[order])))
     # rows are numbered once; the numbers hold because they are written
-    exact = staged(_score_pass(state, model, heavy).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    for first, table in model.segments():
+        shared = context.broadcast(table)
+        if first + SEGMENT_BLOCKS < model.blocks:
+            state = staged(_levels_pass(state, first, shared, model.blocks), "lm-levels")
+    exact = staged(_score_pass(state, model, heavy, first, shared).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     light = exact.select("row", F.explode("light").alias("x")).select("row", "x.h", "x.n")
     rest = model.words.filter(F.col("c") < least)
     norm = model.tokens + 0.5 * (model.distinct + 1)

@@ -22,7 +22,7 @@ def out(i):
 
 
 def level(c):
-    return 0 if c < 1 else max(k for k in range(200) if 1.5 ** k <= c) + 1
+    return 0 if c < 1 else max(k for k in range(200) if 2.0 ** k <= c) + 1
 
 
 def brute(rows):
