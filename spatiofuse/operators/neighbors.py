@@ -203,27 +203,32 @@ def _assemble(df: DataFrame, value: str, radii, centre: Column, strict: bool) ->
     """Turn totals into means, counts, spread and the fallback chain.
 
     Expects per-radius totals of other places, ``at_*`` totals of the row's own
-    place, ``own`` (the row's reading is in the pool), ``day_*`` and ``grand``.
+    place, ``own_value`` and ``own_km`` (the pool reading of the row's own sensor
+    and how far it lies; NULL without one), ``day_*`` and ``grand``.
     """
-    own_v = F.when(F.col("own"), F.col(value) - centre)
-    mates_n = F.coalesce(F.col("at_n"), F.lit(0)) - F.col("own").cast("long")
-    has_mates = mates_n > 0
+    held = F.col("own_value").isNotNull()
+    own_v = F.col("own_value") - centre
+
+    def rest_of(part: str, tag: str, mine: Column, own: Column) -> Column:
+        """Sum without the own reading; a reading alone at its place cancels exactly."""
+        here = mine & (F.col("own_km") == 0)
+        place = F.coalesce(F.col(f"at_{part}"), F.lit(0.0)) - F.when(here, own).otherwise(0.0)
+        return F.coalesce(F.col(f"{part}_{tag}"), F.lit(0.0)) - F.when(mine & ~here, own).otherwise(0.0) + place
+
     out = {}
     for r in radii:
         t = _tag(r)
-        n = F.coalesce(F.col(f"n_{t}"), F.lit(0)) + F.when(has_mates, mates_n).otherwise(0)
-        s1 = F.coalesce(F.col(f"s1_{t}"), F.lit(0.0)) + F.when(
-            has_mates, F.col("at_s1") - F.coalesce(own_v, F.lit(0.0))).otherwise(0.0)
+        mine = F.coalesce(held & (F.col("own_km") <= r), F.lit(False))
+        n = F.coalesce(F.col(f"n_{t}"), F.lit(0)) + F.coalesce(F.col("at_n"), F.lit(0)) - mine.cast("long")
+        s1 = rest_of("s1", t, mine, own_v)
         out[f"_n_{t}"], out[f"_m_{t}"] = n, F.when(n > 0, centre + s1 / n)
         if r == ANCHOR_RADIUS_KM:
-            s2 = F.coalesce(F.col(f"s2_{t}"), F.lit(0.0)) + F.when(
-                has_mates, F.col("at_s2") - F.coalesce(own_v * own_v, F.lit(0.0))).otherwise(0.0)
+            s2 = rest_of("s2", t, mine, own_v * own_v)
             out["_std"] = F.when(n > 1, F.sqrt(F.greatest(s2 / n - (s1 / n) * (s1 / n), F.lit(0.0)))).otherwise(0.0)
     df = df.withColumns(out)
-    taken = F.col("own") if strict else F.lit(True)
-    rest = F.col("day_sum") - F.when(taken, F.col(value)).otherwise(F.lit(0.0))
-    left = F.greatest(F.col("day_n") - F.when(taken, F.lit(1)).otherwise(F.lit(0)), F.lit(1))
-    day_mean = F.when(F.col(value).isNotNull(), rest / left)
+    taken = F.coalesce(F.col("own_value"), F.lit(0.0)) if strict else F.col(value)
+    left = F.greatest(F.col("day_n") - (held.cast("long") if strict else F.lit(1)), F.lit(1))
+    day_mean = F.when(F.col(value).isNotNull(), (F.col("day_sum") - taken) / left)
     anchor = F.coalesce(F.col(f"_m_{_tag(ANCHOR_RADIUS_KM)}"), day_mean, F.col("grand"))
     final = {}
     for r in radii:
@@ -235,14 +240,16 @@ def _assemble(df: DataFrame, value: str, radii, centre: Column, strict: bool) ->
 
 
 def with_neighbor_features(query: DataFrame, pool: DataFrame | None = None, value: str | None = None,
-                           radii=NEIGHBOR_RADII_KM, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+                           radii=NEIGHBOR_RADII_KM, pair_limit: int = PAIR_LIMIT, strict: bool = True) -> DataFrame:
     """Add the neighbour columns to ``query`` (needs sensor_id, date, lat, lon).
 
     ``pool`` defaults to the query itself; one reading per (sensor, date) is the
     contract. A query row never counts a pool row of its own sensor id (compared
-    as text). Rows without a neighbour fall back to the same-day mean of the
+    as text), wherever that row lies. Rows without a neighbour fall back to the same-day mean of the
     others, then to the pool mean; a query without the value column (an
-    arbitrary site) goes straight to the pool mean.
+    arbitrary site) goes straight to the pool mean. ``strict`` takes the own pool
+    reading, if there is one, out of the day mean; ``strict=False`` always takes the
+    query row's value out, for parity with pipelines that do.
     """
     shared = pool is None
     pool = query if shared else pool
@@ -262,19 +269,18 @@ def with_neighbor_features(query: DataFrame, pool: DataFrame | None = None, valu
     by_place = at_place.join(sums, ["date", "q_lat", "q_lon"], "full")
     keyed = query.withColumns({"q_lat": F.col("lat"), "q_lon": F.col("lon")})
     if shared:
-        keyed = keyed.withColumn("own", F.col(value).isNotNull())
-    elif not has_value:
-        keyed = keyed.withColumn("own", F.lit(False))
+        keyed = keyed.withColumns({"own_value": F.col(value), "own_km": F.lit(0.0)})
     else:
         mine = pool.select("date", F.col("sensor_id").cast("string").alias("_sid"),
-                           F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), F.lit(True).alias("_in"))
-        keyed = (keyed.withColumn("_sid", F.col("sensor_id").cast("string"))
-                 .join(mine, ["date", "_sid", "q_lat", "q_lon"], "left")
-                 .withColumn("own", F.coalesce("_in", F.lit(False))).drop("_in", "_sid"))
+                           F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(value).alias("own_value"))
+        same = (F.col("_lat") == F.col("q_lat")) & (F.col("_lon") == F.col("q_lon"))
+        away = haversine_km("q_lat", "q_lon", "_lat", "_lon")
+        keyed = (keyed.withColumn("_sid", F.col("sensor_id").cast("string")).join(mine, ["date", "_sid"], "left")
+                 .withColumn("own_km", F.when(same, 0.0).otherwise(away)).drop("_sid", "_lat", "_lon"))
     joined = (keyed.join(by_place, ["date", "q_lat", "q_lon"], "left")
-              .join(day_totals(pool, value), "date", "left")
+              .join(F.broadcast(day_totals(pool, value)), "date", "left")  # one row per calendar day
               .withColumn("grand", grand))
-    out = _assemble(joined, value, radii, grand, strict=False)
+    out = _assemble(joined, value, radii, grand, strict)
     kept = [c for c in query.columns if c not in NEIGHBOR_COLUMNS and (has_value or c != value)]
     return out.select(*kept, *NEIGHBOR_COLUMNS)
 
@@ -317,8 +323,8 @@ def neighbor_features_per_fold(frame: DataFrame, value: str = "target", n_folds:
     rows = frame.select("sensor_id", "date", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), "fold", value)
     rows = rows.withColumn("fold_out", F.explode(folds))
     joined = (rows.join(kept, ["date", "q_lat", "q_lon", "fold_out"], "left")
-              .join(days, ["date", "fold_out"], "left").join(F.broadcast(grands), "fold_out", "left")  # one row per fold
-              .withColumn("own", F.col(value).isNotNull() & (F.col("fold") != F.col("fold_out")))
+              .join(F.broadcast(days), ["date", "fold_out"], "left").join(F.broadcast(grands), "fold_out", "left")  # one row per fold
+              .withColumns({"own_value": F.when(F.col("fold") != F.col("fold_out"), F.col(value)), "own_km": F.lit(0.0)})
               .withColumn("grand", F.coalesce("grand", F.lit(0.0))))
     out = _assemble(joined, value, radii, grand, strict=strict)
     return out.select("fold_out", "sensor_id", "date", *NEIGHBOR_COLUMNS)

@@ -46,9 +46,9 @@ def out_of_region_ids(i):
 
 
 @query("elevation_map_scan", sql("""
-SELECT CAST(sensor_id AS VARCHAR) AS id, 'sensor' AS kind, round((sensor_id*7) % 900 + 0.5, 6)::DOUBLE AS elevation FROM ids WHERE sensor_id % 14 <> 0
-UNION ALL SELECT lpad(CAST(sensor_id % 150 AS VARCHAR), 11, '0'), 'tract', ((sensor_id % 150)*11 % 800)::DOUBLE FROM ids WHERE sensor_id % 3 <> 0""",
-    "sensor_days", ids="SELECT DISTINCT sensor_id FROM sensor_days WHERE sensor_id % 2 = 0 AND sensor_id < 150"))
+SELECT CAST(sensor_id AS VARCHAR) AS id, 'sensor' AS kind, round((sensor_id*7) % 900 + 0.5, 6)::DOUBLE AS elevation FROM ids WHERE sensor_id % 14 <> 0 AND sensor_id % 2 = 0
+UNION ALL SELECT lpad(CAST(sensor_id AS VARCHAR), 11, '0'), 'tract', (sensor_id*11 % 800)::DOUBLE FROM ids WHERE sensor_id % 3 <> 0""",
+    "sensor_days", ids="SELECT DISTINCT sensor_id FROM sensor_days"))
 def elevation_map_scan(i):
     sensors, tracts = ingest.elevation_maps(i.elevation_documents)
     return (sensors.select(F.col("sensor_id").cast("string").alias("id"), F.lit("sensor").alias("kind"), "elevation")

@@ -44,18 +44,38 @@ def neighbor_predictor_by_day(i):
     return metrics.regression_metrics(df, "target", "nbr_pm25_50km", ["date"])
 
 
-@query("neighbor_features_other_pool", sql(out(f"""
+def other_pool_sql(strict: bool) -> str:
+    """Neighbours in another network: a pool where some sensors have no reading and others have moved."""
+    own = "coalesce(o.own, 0)" if strict else "p.target"
+    one = "CASE WHEN o.own IS NOT NULL THEN 1 ELSE 0 END" if strict else "1"
+    return sql(out(f"""
 SELECT p.sensor_id, p.date, coalesce(m25, f50) AS nbr_pm25_25km, coalesce(c100, 0)::INT AS nbr_count_100km, f50 AS nbr_pm25_50km
-FROM (SELECT p.*, n.* EXCLUDE (sensor_id, date), coalesce(m50, (day_sum - target)/greatest(day_n - 1, 1), (SELECT AVG(target) FROM pool)) AS f50
-      FROM panel p LEFT JOIN near n ON p.sensor_id = n.sensor_id AND p.date = n.date LEFT JOIN days d ON p.date = d.date) p""", "nbr_pm25_25km nbr_pm25_50km"),
-    "panel", pool="SELECT * FROM panel WHERE sensor_id % 3 <> 0 AND day(date) <> 9",
-    pairs=PAIRS.replace("JOIN panel b", "JOIN pool b"), near=NEAR, days=DAYS.replace("FROM panel", "FROM pool")))
-def neighbor_features_other_pool(i):
-    pool = panel(i).filter((F.col("sensor_id") % 3 != 0) & (F.dayofmonth("date") != 9))
-    return (neighbors.with_neighbor_features(panel(i), pool, "target")
+FROM (SELECT p.*, n.* EXCLUDE (sensor_id, date), coalesce(m50, CASE WHEN p.target IS NOT NULL THEN (day_sum - {own})/greatest(day_n - {one}, 1) END, (SELECT AVG(target) FROM pool)) AS f50
+      FROM panel p LEFT JOIN near n ON p.sensor_id = n.sensor_id AND p.date = n.date LEFT JOIN days d ON p.date = d.date
+      LEFT JOIN (SELECT sensor_id, date, target AS own FROM pool WHERE target IS NOT NULL) o ON o.sensor_id = p.sensor_id AND o.date = p.date) p""", "nbr_pm25_25km nbr_pm25_50km"),
+    "panel", pool="""SELECT * REPLACE (CASE WHEN sensor_id % 3 <> 0 AND day(date) <> 9 THEN target END AS target,
+      CASE WHEN sensor_id % 4 = 1 THEN lat + 0.05::DOUBLE ELSE lat END AS lat) FROM panel""",
+    pairs=PAIRS.replace("JOIN panel b", "JOIN pool b"), near=NEAR, days=DAYS.replace("FROM panel", "FROM pool"))
+
+
+def other_pool(i, strict: bool):
+    pool = panel(i).withColumns({
+        "target": F.when((F.col("sensor_id") % 3 != 0) & (F.dayofmonth("date") != 9), F.col("target")),
+        "lat": F.when(F.col("sensor_id") % 4 == 1, F.col("lat") + 0.05).otherwise(F.col("lat"))})
+    return (neighbors.with_neighbor_features(panel(i), pool, "target", strict=strict)
             .select("sensor_id", "date", "nbr_pm25_25km", "nbr_count_100km", "nbr_pm25_50km"))
 
 
+@query("neighbor_features_other_pool", other_pool_sql(True))
+def neighbor_features_other_pool(i):
+    return other_pool(i, True)
+
+
+@query("neighbor_features_other_pool_compat", other_pool_sql(False))
+def neighbor_features_other_pool_compat(i):
+    return other_pool(i, False)
+
+
 @query("pool_day_totals", sql(out("""SELECT date, COUNT(target) AS day_n, SUM(target) AS day_sum, AVG(SUM(target)) OVER () AS mean_sum
 FROM panel GROUP BY date""", "day_sum mean_sum"), "panel"))
 def pool_day_totals(i):
@@ -197,11 +217,11 @@ def site_sensor_distance(i):
 
 
 @query("attribute_joins", sql(out("""SELECT p.sensor_id, p.date, t.traffic_proximity, t.diesel_pm_proximity, coalesce(s.hms_smoke, 0)::SMALLINT AS hms_smoke,
- coalesce(CASE WHEN p.sensor_id % 2 = 0 AND p.sensor_id < 150 AND p.sensor_id % 14 <> 0 THEN (p.sensor_id*7) % 900 + 0.5 END,
+ coalesce(CASE WHEN p.sensor_id % 2 = 0 AND p.sensor_id % 14 <> 0 THEN (p.sensor_id*7) % 900 + 0.5 END,
    CASE WHEN e.id IS NOT NULL THEN (e.id*11 % 800)::DOUBLE END) AS elevation
 FROM panel p LEFT JOIN tracts t ON lpad(t.GEOID, 11, '0') = p.GEOID
 LEFT JOIN smoke s ON TRY_CAST(s.sensor_id AS BIGINT) = p.sensor_id AND s.date = p.date
-LEFT JOIN (SELECT DISTINCT sensor_id AS id FROM panel WHERE sensor_id % 2 = 0 AND sensor_id < 150 AND sensor_id % 3 <> 0) e ON e.id = p.sensor_id % 150""",
+LEFT JOIN (SELECT DISTINCT sensor_id AS id FROM panel WHERE sensor_id % 3 <> 0) e ON e.id = p.sensor_id""",
     "traffic_proximity diesel_pm_proximity elevation"), "panel", "tracts", "smoke"))
 def attribute_joins(i):
     elevation = ingest.elevation_maps(i.elevation_documents)
@@ -422,7 +442,7 @@ def availability_flags(i):
   SELECT *, row_number() OVER (PARTITION BY "row", col ORDER BY d, GEOID) AS rn FROM (
    SELECT g."row", g.col, t.GEOID, t.e, {deg('g.lat', 'g.lon', 't.lat', 't.lon')} AS d FROM grid g CROSS JOIN te t)) WHERE rn <= 4) GROUP BY 1, 2)""", "value"),
     "panel", "tracts", grid=GRID_SQL, te="""SELECT lpad(t.GEOID, 11, '0') AS GEOID, t.lat, t.lon, (CAST(t.GEOID AS BIGINT)*11 % 800)::DOUBLE AS e FROM tracts t
- WHERE CAST(t.GEOID AS BIGINT) IN (SELECT sensor_id FROM panel WHERE sensor_id % 2 = 0 AND sensor_id < 150 AND sensor_id % 3 <> 0)"""))
+ WHERE CAST(t.GEOID AS BIGINT) IN (SELECT sensor_id FROM panel WHERE sensor_id % 3 <> 0)"""))
 def elevation_plane(i):
     elevation = ingest.tract_lookup(i.tracts).join(ingest.elevation_maps(i.elevation_documents)[1], "GEOID")
     g = coarse_grid(i)

@@ -14,7 +14,7 @@ SELECT sensor_id, date, pm25,
        (990 + (sensor_id*7 + dayofyear(date)*3) % 40)::DOUBLE AS pressure,
        ((sensor_id*11 + dayofyear(date)*5) % 12)::DOUBLE AS wind_speed,
        ((sensor_id*3 + dayofyear(date)*17) % 9)::DOUBLE AS precipitation,
-       latitude, longitude, CAST(sensor_id % 150 AS VARCHAR) AS GEOID, n, n_err
+       latitude, longitude, CAST(sensor_id AS VARCHAR) AS GEOID, n, n_err
 FROM (SELECT sensor_id, date, round(AVG(value) + 1.3e-9, 6) AS pm25, round(AVG(k) + 1.3e-9, 6) AS rh, COUNT(*) AS n,
              COUNT(*) FILTER (event_type = 'error') AS n_err,
              MIN(latitude) AS latitude, MIN(longitude) AS longitude

@@ -80,7 +80,7 @@ class Inputs:
             ((sid * 3 + doy * 17) % 9).cast("double").alias("precipitation"),
             sensor_lat("sensor_id").alias("latitude"), sensor_lon("sensor_id").alias("longitude"),
             F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"),  # stand-ins for tract centroids
-            (sid % 150).cast("string").alias("GEOID"), "n", "n_err")
+            sid.cast("string").alias("GEOID"), "n", "n_err")
 
     @cached_property
     def smoke(self) -> DataFrame:
@@ -157,15 +157,14 @@ class Inputs:
 
     @cached_property
     def elevation_documents(self) -> DataFrame:
-        """JSON documents of the nested-map elevation format, one per sensor."""
+        """JSON documents of the nested-map elevation format, one per sensor; odd sensors and every third tract lack a value."""
         sid = F.col("sensor_id")
         text = F.concat(
             F.lit('{"sensors": {"'), sid,
-            F.when(sid % 14 == 0, F.lit('": "bad"')).otherwise(F.concat(F.lit('": "'), (sid * 7) % 900, F.lit('.5"'))),
-            F.lit('}, "tracts": {"'), F.lpad((sid % 150).cast("string"), 11, "0"), F.lit('": '),
-            F.when(sid % 3 == 0, F.lit("null")).otherwise(((sid % 150) * 11 % 800).cast("string")), F.lit("}}"))
-        return (self.sensor_days.select("sensor_id").distinct().filter("sensor_id % 2 = 0 AND sensor_id < 150")
-                .select(text.alias("value")))
+            F.when(sid % 14 == 0, F.lit('": "bad"')).when(sid % 2 == 1, F.lit('": null')).otherwise(F.concat(F.lit('": "'), (sid * 7) % 900, F.lit('.5"'))),
+            F.lit('}, "tracts": {"'), F.lpad(sid.cast("string"), 11, "0"), F.lit('": '),
+            F.when(sid % 3 == 0, F.lit("null")).otherwise((sid * 11 % 800).cast("string")), F.lit("}}"))
+        return self.sensor_days.select("sensor_id").distinct().select(text.alias("value"))
 
     @cached_property
     def tract_features(self) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from spatiofuse.functions.scalar import null_if_not_finite
 
-MAX_ROWS_PER_SECTION = 160
-
 
 def key_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of keys found only on one side (0, 0 when two frames hold the same rows)."""
@@ -46,17 +44,16 @@ def flat_metrics(metrics: DataFrame, section: str, names: list[str], prefix: lis
             .select(F.lit(section).alias("section"), metric.alias("metric"), F.col("e.v").alias("value")))
 
 
-def summary_rows(flat: DataFrame, limit: int = MAX_ROWS_PER_SECTION) -> DataFrame:
-    """At most ``limit`` rows per report section, in metric order."""
+def summary_rows(flat: DataFrame) -> DataFrame:
+    """All rows of each report section, numbered in metric order."""
     w = W.partitionBy("section").orderBy("metric")
-    return flat.withColumn("row", F.row_number().over(w)).filter(F.col("row") <= limit)
+    return flat.withColumn("row", F.row_number().over(w))
 
 
 def metrics_json(flat: DataFrame) -> DataFrame:
-    """Strict JSON text per section (a report: few rows per section)."""
+    """Strict JSON text of every metric of each section (one document per section, as the report asks)."""
     entry = F.struct("metric", "value")
-    return (summary_rows(flat).groupBy("section")
-            .agg(F.sort_array(F.collect_list(entry)).alias("e"))  # at most 160 entries
+    return (flat.groupBy("section").agg(F.sort_array(F.collect_list(entry)).alias("e"))
             .select("section", F.to_json(F.map_from_entries("e"), {"ignoreNullFields": "false"}).alias("json")))
 
 
