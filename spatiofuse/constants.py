@@ -96,7 +96,7 @@ MET_EXTRA_COLUMNS = ["shortwave", "et0", "cloud_cover"]
 SENSOR_FOLDS = 10
 BLOCK_FOLDS = 5
 META_FOLDS = 4
-KRIGE_MAX_TRAIN = 150
+KRIGE_NEIGHBORS = 16  # nearest training points of a kriged target
 KRIGE_MIN_POINTS = 5
 FRAME_DOY_PERIOD = 365.0
 GRID_DOY_PERIOD = 365.25

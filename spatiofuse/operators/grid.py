@@ -216,11 +216,6 @@ def standardised(stack: DataFrame, stats: DataFrame) -> DataFrame:
             .withColumn("value", (F.col("value") - F.col("mean")) / F.col("std")).drop("mean", "std"))
 
 
-def pivoted(stack: DataFrame, channels: list[str]) -> DataFrame:
-    """One column per channel for (date, row, col)."""
-    return stack.groupBy("date", "row", "col").pivot("channel", channels).agg(F.first("value", ignorenulls=True))
-
-
 # Supervision -------------------------------------------------------------
 
 def supervision(panel: DataFrame, grid: Grid, region: DataFrame | None = None) -> DataFrame:

@@ -114,25 +114,28 @@ def block_counts(mapped: DataFrame) -> DataFrame:
     return sizes.withColumn("is_largest", rank == 1)
 
 
-def _turn(a, b, c) -> float:
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-
-
 def hull(points: np.ndarray) -> np.ndarray:
-    """Counter-clockwise convex hull of (x, y) points (Andrew's monotone chain)."""
-    pts = np.unique(points, axis=0)
-    if len(pts) < 3:
-        return pts
-
-    def chain(seq):
-        out: list[np.ndarray] = []
-        for p in seq:
-            while len(out) > 1 and _turn(out[-2], out[-1], p) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(chain(pts) + chain(pts[::-1]))
+    """Counter-clockwise convex hull of (x, y) points, from the lowest leftmost one.
+
+    Gift wrapping: from each vertex the next is the point with the least turn from
+    the last edge's direction, the farthest of those in line.
+    """
+    distinct = np.unique(points, axis=0)
+    if len(distinct) < 3:
+        return distinct
+    here, heading, found = distinct[0], np.array([0.0, -1.0]), []
+    while not found or (here != found[0]).any():
+        found.append(here)
+        step = distinct - here
+        length = np.hypot(step[:, 0], step[:, 1])
+        turn = np.arctan2(heading[0] * step[:, 1] - heading[1] * step[:, 0], step @ heading) % (2 * np.pi)
+        turn = np.where((length == 0) | (turn > 2 * np.pi - 1e-12), np.inf, turn)
+        in_line = turn <= turn.min() + 1e-12
+        follow = distinct[int(np.where(in_line, length, -1.0).argmax())]
+        here, heading = follow, (follow - here) / np.hypot(*(follow - here))
+        if len(found) > len(distinct):
+            break
+    return np.array(found)
 
 
 def block_hulls(mapped: DataFrame, pad: float = 0.10) -> DataFrame:

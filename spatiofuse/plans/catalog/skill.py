@@ -11,7 +11,7 @@ from spatiofuse.operators import baselines, blend, bootstrap, conformal, folds,
 from spatiofuse.plans import features, fuse, validate
 from spatiofuse.plans.catalog.base import folded, panel, query, reference_daily, sources
 from spatiofuse.plans.catalog.scans import aqi_sql
-from spatiofuse.plans.catalog.spatial import IDW8, NBR_CTES, PAIRS, REGRESSION, baseline_pairs, smoky_pool
+from spatiofuse.plans.catalog.spatial import IDW8, PAIRS, REGRESSION, baseline_pairs, smoky_pool
 from spatiofuse.plans.catalog.sqltext import out, sql
 from spatiofuse.session import cut_lineage
 from spatiofuse.sources import sinks

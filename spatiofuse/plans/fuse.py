@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from spatiofuse.operators import blend, conformal, kriging
 from spatiofuse.operators.folds import calibration_flag
-from spatiofuse.operators.metrics import interval_coverage
 from spatiofuse.session import cut_lineage
 
 
@@ -21,12 +20,6 @@ class Fusion:
     n_calibration: int
 
 
-def restricted_part(rows: DataFrame, part: str, pixels: DataFrame) -> DataFrame:
-    """Keep a surface-derived part only on rows whose pixel was held out from the surface model."""
-    held = pixels.select("pixel").distinct().withColumn("_held", F.lit(True))
-    return (rows.join(held, "pixel", "left").withColumn(part, F.when(F.col("_held"), F.col(part))).drop("_held"))
-
-
 def fuse(oof: DataFrame, parts: list[str], y: str = "target", alpha: float = 0.1, seed=42) -> Fusion:
     """Stack the out-of-fold ``parts`` and calibrate the band around the stack.
 
@@ -50,11 +43,6 @@ def fuse(oof: DataFrame, parts: list[str], y: str = "target", alpha: float = 0.1
     return Fusion(table, final, found["delta"], found["n"])
 
 
-def coverage_report(result: Fusion, y: str = "target") -> DataFrame:
-    """Coverage and width on the rows disjoint from calibration."""
-    return interval_coverage(result.table.filter("NOT is_cal"), y, "band_lo", "band_hi")
-
-
 def with_residual_kriging(oof: DataFrame, pred: str, y: str = "target") -> DataFrame:
     """Add the kriged out-of-fold residual as its own part ``rk``."""
     return oof.join(kriging.residual_kriging(oof, pred, y), ["sensor_id", "date"], "left")

@@ -45,8 +45,8 @@ def read_sensor_days(spark: SparkSession, path: str, **window) -> DataFrame:
 
 
 def daily_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Column-pruned scan laid out by day, for joins that go day by day."""
-    return df.select(*columns).withColumn("date", F.to_date("date")).repartition("date")
+    """Column-pruned scan with a true date column."""
+    return df.select(*columns).withColumn("date", F.to_date("date"))
 
 
 def canonical_coordinates(df: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def assemble_months(chunks: list[DataFrame], start: str | None = None, end: str
 def write_by_month(df: DataFrame, path: str, order: list[str]) -> None:
     """Month-partitioned parquet, sorted inside each file."""
     (df.withColumn("month", F.date_format("date", "yyyyMM"))
-     .repartition("month", F.pmod(F.xxhash64(*order), F.lit(8)))  # a heavy month spreads over 8 tasks
+     .repartitionByRange("month", *order)  # ranges of even size: a heavy month takes as many tasks as it fills
      .sortWithinPartitions("month", *order)
      .write.mode("overwrite").partitionBy("month").parquet(path))
 

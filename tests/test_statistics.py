@@ -134,20 +134,21 @@ def test_bootstrap_single_cluster_uses_rows(spark):
     assert ci.r2_lo is not None and ci.r2_lo < ci.r2_hi and abs(ci.rmse_lo - 1.0) < 1e-9
 
 
-def test_kriging_is_exact_without_nugget_and_weights_sum_to_one():
+def test_kriging_weights_are_exact_at_points_and_sum_to_one():
     rng = np.random.default_rng(2)
-    lat, lon = rng.uniform(28, 32, 30), rng.uniform(-99, -95, 30)
-    v = np.sin(lat * 3) + lon
-    d = kriging.arc_degrees(lat, lon, lat, lon)
-    model, b = kriging.dual_weights(lat, lon, v)
-    z = kriging.exponential(d, *model) @ b[:-1] + b[-1]
-    assert np.allclose(z, v, atol=1e-6)
-    shifted = kriging.dual_weights(lat, lon, v + 100.0)[1]
-    q = kriging.exponential(kriging.arc_degrees(np.array([30.1]), np.array([-97.2]), lat, lon), *model)
-    assert np.allclose(q @ shifted[:-1] + shifted[-1] - (q @ b[:-1] + b[-1]), 100.0, atol=1e-6)
-
-
-def test_kriging_groups_chunks_and_fallbacks(spark, monkeypatch):
+    lat, lon = rng.uniform(28, 32, (5, 12)), rng.uniform(-99, -95, (5, 12))
+    model = np.tile([2.0, 1.5, 0.0], (5, 1))
+    w = kriging.local_weights(lat, lon, lat[:, 3], lon[:, 3], model)
+    assert np.allclose(w, np.eye(12)[[3] * 5], atol=1e-6)
+    w = kriging.local_weights(lat, lon, np.full(5, 30.1), np.full(5, -97.2), model + [0, 0, 0.3])
+    assert np.allclose(w.sum(axis=1), 1.0)
+    lag = np.linspace(0.1, 3, 6)
+    sill, reach, nugget = kriging.fit_variogram(lag, kriging.exponential(lag, 2.0, 1.8, 0.5))
+    assert abs(sill - 2.0) < 0.2 and abs(reach - 1.8) < 0.3 and abs(nugget - 0.5) < 0.2
+
+
+def test_local_kriging_against_brute_force(spark):
+    """Every training row can serve; held-out folds never do; few neighbours fall back to inverse distances."""
     rng = np.random.default_rng(4)
     day = [dt.date(2024, 1, d) for d in (1, 2, 3)]
     rows = []
@@ -158,12 +159,31 @@ def test_kriging_groups_chunks_and_fallbacks(spark, monkeypatch):
                 rows.append((s, d, la, lo, float(la + rng.normal(0, 0.1)), s % 3))
     rows.append((100, day[2], 30.0, -97.0, 5.0, 1))  # nothing to learn from on the third day
     df = spark.createDataFrame(rows, "sensor_id long, date date, lat double, lon double, target double, fold int")
-    whole = {(r[0], r[1]): r[2] for r in kriging.kriging_baseline(df).collect()}
-    monkeypatch.setattr(kriging, "CHUNK_ROWS", 7)
-    chunked = {(r[0], r[1]): r[2] for r in kriging.kriging_baseline(df).collect()}
-    assert len(whole) == len(rows) and whole.keys() == chunked.keys()
-    assert all((a is None and chunked[k] is None) or abs(a - chunked[k]) < 1e-9 for k, a in whole.items())
-    assert whole[(100, day[2])] is None
+    got = {(r[0], r[1]): r[2] for r in kriging.kriging_baseline(df, neighbors=10).collect()}
+    assert len(got) == len(rows) and got[(100, day[2])] is None
+
+    def near(fold, d, la, lo):
+        pool = [r for r in rows if r[1] == d and r[5] != fold]
+        return sorted(pool, key=lambda r: (kriging.arc_degrees(la, lo, r[2], r[3]), r[0]))[:10]
+
+    for f in range(3):  # the day's variogram over the held-out fold's neighbour lists
+        mine = [r for r in rows if r[1] == day[0] and r[5] == f]
+        lists = {r[0]: near(f, day[0], r[2], r[3]) for r in mine}
+        d, g = zip(*[(float(kriging.arc_degrees(n[0][2], n[0][3], o[2], o[3])), 0.5 * (n[0][4] - o[4]) ** 2) for n in lists.values() for o in n[1:]])
+        d, g = np.array(d), np.array(g)
+        which = np.minimum((d / d.max() * kriging.LAGS).astype(int), kriging.LAGS - 1)
+        bins = sorted({int(w) for w in which})
+        model = np.array([kriging.fit_variogram(np.array([d[which == b].mean() for b in bins]), np.array([g[which == b].mean() for b in bins]))])
+        for r in mine:
+            p = np.array([[o[2:5] for o in lists[r[0]]]])
+            w = kriging.local_weights(p[:, :, 0], p[:, :, 1], np.array([r[2]]), np.array([r[3]]), model)
+            assert abs(got[(r[0], day[0])] - max(0.0, float((w * p[:, :, 2]).sum()))) < 1e-6
+    for r in rows:
+        if r[1] == day[1]:
+            pool = near(r[5], day[1], r[2], r[3])
+            w = [1 / np.radians(kriging.arc_degrees(r[2], r[3], o[2], o[3])) ** 2 for o in pool]
+            want = sum(a * o[4] for a, o in zip(w, pool)) / sum(w) if pool else None
+            assert (got[(r[0], day[1])] is None and want is None) or abs(got[(r[0], day[1])] - want) < 1e-6
     resid = {(r[0], r[1]): r[2] for r in kriging.residual_kriging(df.withColumn("p", F.lit(30.0)), "p").collect()}
     assert resid[(100, day[2])] == 0.0
 
