@@ -33,6 +33,8 @@ import heapq
 import math
 import re
 import sys
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 THETA, SAMPLES, SEED = 2.0, 2, 20
 #: Distinct units whose best cuts, sums and lattices a worker keeps; beyond, it starts anew.
-CACHED_UNITS, CACHED_SUMS, CACHED_LATTICES = 700_000, 40_000, 2_000
+CACHED_UNITS, CACHED_SUMS, CACHED_TABLES, CACHED_LATTICES = 600_000, 20_000, 12_000, 2_000
+#: All cuts of units up to this length are listed, once.
+SHORT = 7
 #: Sets of less probability are passed over: rounding would rule them.
 LEAST_MASS = 1e-12
 #: The unit of a literal U+2581: no text holds a lone surrogate.
@@ -89,7 +93,7 @@ class Sampler:
             for n in range(1, len(piece)):
                 self.weights.setdefault(piece[:n], 0.0)
         self.byte_ids, self.byte_weight = single, (2.0 + sp.get_piece_size()) ** -theta
-        self.units, self.best, self.best_p, self.lattices, self.summed = {}, [], [], {}, {}
+        self.units, self.lattices, self.summed, self.tables = {}, {}, {}, {}
         self.cut = re.compile("▁+[^▁\n]*|[^▁\n]+|\n").findall
 
     def edges(self, unit: str) -> list[list[tuple[int, float, bytes]]]:
@@ -170,6 +174,12 @@ class Sampler:
     def unlike_best(self, unit: str, random) -> tuple[bytes, float] | None:
         """A cut drawn from all but the best one, by their probabilities, and its probability."""
         n = len(unit)
+        if n <= SHORT:
+            ids, p, sums = self.others(unit)
+            if not ids or not sums[-1]:
+                return None
+            at = min(bisect_right(sums, random() * sums[-1]), len(ids) - 1)
+            return ids[at], p[at]
         if n > LINEAR:
             return self.other(unit, [self.solve(unit)[0]], random)
         get, made = self.weights.get, self.sums(unit)
@@ -215,14 +225,32 @@ class Sampler:
             i = j
         return b"".join(parts), product / after[0]
 
-    def number(self, unit: str) -> int:
-        ids, p = self.solve(unit)
-        if p > 0.999 and all(len(e) == 1 for e in self.edges(unit)):
-            p = 1.0
-        self.units[unit] = at = len(self.best)
-        self.best.append(ids)
-        self.best_p.append(p)
-        return at
+    def number(self, unit: str) -> tuple[bytes, float]:
+        """Best cut and its probability, kept."""
+        self.units[unit] = made = self.solve(unit)
+        return made
+
+    def others(self, unit: str) -> tuple[list[bytes], list[float], list[float]]:
+        """All cuts of a short unit but the best one: ids, probabilities, and their running sum."""
+        made = self.tables.get(unit)
+        if made is None:
+            edges, cuts = self.edges(unit), []
+
+            def walk(i, ids, w):
+                if i == len(unit):
+                    cuts.append((w, ids))
+                    return
+                for j, v, s in edges[i]:
+                    walk(j, ids + s, w * v)
+
+            walk(0, b"", 1.0)
+            best, total = (self.units.get(unit) or self.number(unit))[0], sum(w for w, _ in cuts)
+            cuts = sorted(((w / total, ids) for w, ids in cuts if ids != best), reverse=True)
+            made = [c[1] for c in cuts], [c[0] for c in cuts], list(accumulate(c[0] for c in cuts))
+            if len(self.tables) > CACHED_TABLES:
+                self.tables.clear()
+            self.tables[unit] = made
+        return made
 
     def lattice(self, unit: str) -> Unit:
         made = self.lattices.get(unit)
@@ -300,16 +328,16 @@ class Sampler:
         """Up to k distinct samples (ids, log-probability, perturbed value, log-inclusion), largest perturbed value first."""
         if not text:
             return [(b"", 0.0, 0.0, 0.0)]
-        if len(self.best) > CACHED_UNITS:
-            self.units, self.best, self.best_p = {}, [], []
+        if len(self.units) > CACHED_UNITS:
+            self.units = {}
         units = self.units_of(text)
-        known, number = self.units, self.number
-        at = np.array([known[u] if u in known else number(u) for u in units], np.int64)
-        values = np.fromiter(map(self.best_p.__getitem__, at.tolist()), float, len(at))
+        known, number = self.units.get, self.number
+        solved = [known(u) or number(u) for u in units]
+        best, values = [x[0] for x in solved], np.array([x[1] for x in solved])
         with np.errstate(divide="ignore"):
             log_best, rest_best = np.log(values), np.where(values < 1 - LEAST_MASS, np.log1p(-np.minimum(values, 1 - 1e-16)), -np.inf)
         random = np.random.Generator(np.random.SFC64(xxhash.xxh64_intdigest(key, SEED)))
-        best, size = [self.best[i] for i in at.tolist()], len(units)
+        size = len(units)
         found, heap, order = [], [(-float(random.gumbel()), 0, 0, [], None, None)], 0
         while heap and len(found) < k:
             minus, _, t, banned, cuts, logs = heapq.heappop(heap)
