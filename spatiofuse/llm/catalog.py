@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiofuse.llm import bloom_lm, chat, cover_tree, lattice, lines, packing, quality, sharding, simhash, url_templates
+from spatiofuse.llm import bloom_lm, chat, cover_tree, lattice, lines, packing, quality, sharding, simhash, sqltext, url_templates
 
 #: The packing tokenizer by name, among the installed public ones.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -28,7 +28,7 @@ def query(name: str, table: str, sql: str | None = None):
     return register
 
 
-@query("op1_exact_top_k", "embeddings")
+@query("op1_exact_top_k", "embeddings", sqltext.TOP_K)
 def op1(vectors: DataFrame) -> DataFrame:
     done = cover_tree.top_k(vectors, F.col("vec_id") % 100 == 0)
     return done.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
@@ -49,7 +49,7 @@ def op3(docs: DataFrame) -> DataFrame:
                        F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
 
 
-@query("op4_quality_rules", "documents")
+@query("op4_quality_rules", "documents", sqltext.QUALITY)
 def op4(docs: DataFrame) -> DataFrame:
     return quality.judged(docs)
 
@@ -78,7 +78,7 @@ def op6(docs: DataFrame) -> DataFrame:
 PROBE = "</s>[INST] ok [/INST]"
 
 
-@query("op7_chat_formatting", "conversations")
+@query("op7_chat_formatting", "conversations", sqltext.CHAT)
 def op7(rows: DataFrame) -> DataFrame:
     probe = rows.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     rows = rows.select("conv_id", "turn", "role", "text").unionByName(probe)
