@@ -154,7 +154,7 @@ def sensor_folds(i):
 
 @query("spatial_block_folds")
 def spatial_block_folds(i):
-    return folds.block_folds(panel(i), tries=3).select("sensor_id", "block")
+    return folds.block_folds(panel(i)).select("sensor_id", "block")
 
 
 @query("temporal_split", sql(out("SELECT sensor_id, date, date >= DATE '2024-01-20' AS is_test FROM panel"), "panel"))
@@ -297,7 +297,7 @@ def paired_delta(i):
 
 @query("enriched_metrics")
 def enriched_metrics(i):
-    return validate.enriched(panel(i), "target", "pm25", n_boot=200)
+    return validate.enriched(panel(i), "target", "pm25")
 
 
 # Learners --------------------------------------------------------------------
@@ -354,7 +354,7 @@ def fused_prediction(i):
 @query("feature_set_ablation")
 def feature_set_ablation(i):
     frame, overrides = learning_frame(i)
-    return validate.ablation(frame, SMALL_FEATURES, ["no_neighbor", "no_external"], overrides, {"huber": {"maxIter": 20}}, n_boot=200)
+    return validate.ablation(frame, SMALL_FEATURES, ["no_neighbor", "no_external"], overrides, {"huber": {"maxIter": 20}})
 
 
 def deployed(i):
@@ -371,7 +371,7 @@ def deployed(i):
 def external_validation(i):
     src, frame, bundle = deployed(i)
     rows = cut_lineage(validate.external_rows(reference_daily(i), smoky_pool(i), src))
-    report = validate.external_validation(rows, bundle.predict, n_boot=100)
+    report = validate.external_validation(rows, bundle.predict)
     names = ["r2", "rmse", "mae", "bias", "n"]
     pooled = report["pooled"].select(F.lit("all").alias("site_id"), *names)
     yearly = report["by_year"].select(F.col("year").cast("string").alias("site_id"), *names)
