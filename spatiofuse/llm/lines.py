@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spatiofuse.llm.staging import staged
-from spatiofuse.llm.words import content_key, each, has_word, trimmed
+from spatiofuse.llm.words import BLANK_RUN, content_key, each, has_word, trimmed
 
 #: Production parameters: words from which a repeated run is surely found, and words of a gram.
 RUN_WORDS, GRAM_WORDS = 50, 25
@@ -55,9 +55,10 @@ def units(text: Column) -> Column:
 
 
 def _unit_words(unit: Column) -> Column:
-    inner = F.translate(trimmed(unit), "\t\n\x0b\x0c\r", "     ")
-    inner = F.when(F.instr(inner, "  ") > 0, F.regexp_replace(inner, " +", " ")).otherwise(inner)
-    return F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit(""))) + 1
+    """Words of a unit: single spaces and one, unless it holds other blanks."""
+    inner = trimmed(unit)
+    spaces = F.octet_length(inner) - F.octet_length(F.replace(inner, F.lit(" "), F.lit("")))
+    return F.when(inner.rlike("[\\x09-\\x0D]|\\x20\\x20"), F.size(F.split(inner, BLANK_RUN))).otherwise(spaces + 1)
 
 
 def _get(name: str, i) -> Column:
