@@ -100,3 +100,8 @@ def test_surface_export(spark, tmp_path):
     m = export_surface(surface, g, str(tmp_path / "surface"))
     r = m.first()
     assert (r.n_days, r.n_values, r.height, r.width, r.lat_max, r.lon_max) == (2, 12, 2, 3, 0.5, 1.0)
+
+
+def test_metrics_json_holds_every_metric(spark):
+    flat = spark.createDataFrame([("s", f"m{i:03d}", float(i)) for i in range(400)], "section string, metric string, value double")
+    assert len(json.loads(sinks.metrics_json(flat).first().json)) == 400 and sinks.summary_rows(flat).count() == 400

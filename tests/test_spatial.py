@@ -144,3 +144,15 @@ def test_nearest_cell_ties_and_absent_day(spark):
                                "id long, date date, lat double, lon double")
     got = {r.date.day: r.v for r in K.with_nearest_cell(df, product, ["v"], "cell_lat", "cell_lon").collect()}
     assert got == {1: 1.0, 2: None}
+
+
+def test_own_reading_is_left_out_wherever_it_lies(spark):
+    """A moved sensor, a reading that is not in the pool, and the compatible day mean."""
+    day = dt.date(2024, 1, 1)
+    query = spark.createDataFrame([("1", day, 30.0, -97.0, 30.0), ("9", day, 36.0, -106.0, 100.0)], "sensor_id string, date date, lat double, lon double, target double")
+    pool = spark.createDataFrame([(1, day, 30.05, -97.0, 50.0), (2, day, 30.1, -97.0, 10.0), (3, day, 26.0, -94.0, 20.0)], "sensor_id long, date date, lat double, lon double, target double")
+    got = {r.sensor_id: r for r in N.with_neighbor_features(query, pool, "target").collect()}
+    assert got["1"].nbr_count_50km == 1 and abs(got["1"].nbr_pm25_50km - 10.0) < 1e-9
+    assert got["9"].nbr_count_100km == 0 and abs(got["9"].nbr_pm25_50km - 80.0 / 3) < 1e-9
+    compat = {r.sensor_id: r for r in N.with_neighbor_features(query, pool, "target", strict=False).collect()}
+    assert abs(compat["9"].nbr_pm25_50km - (80.0 - 100.0) / 2) < 1e-9
