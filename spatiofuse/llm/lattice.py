@@ -47,7 +47,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 THETA, SAMPLES, SEED = 2.0, 2, 20
 #: Distinct units whose best cuts, sums and lattices a worker keeps; beyond, it starts anew.
-CACHED_UNITS, CACHED_SUMS, CACHED_TABLES, CACHED_LATTICES = 600_000, 20_000, 12_000, 2_000
+CACHED_UNITS, CACHED_SUMS, CACHED_TABLES, CACHED_LATTICES = 250_000, 10_000, 8_000, 1_000
 #: All cuts of units up to this length are listed, once.
 SHORT = 7
 #: Sets of less probability are passed over: rounding would rule them.
@@ -411,7 +411,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "te
                 for n, (ids, *scores) in enumerate(tool.sample(value.as_py() or "", str(keys[i]), samples)):
                     rows.append((i, n, ids, *scores))
                     held += len(ids)
-                if held > 8_000_000:
+                if held > 2_000_000:
                     yield out()
                     rows, held = [], 0
             yield out()
