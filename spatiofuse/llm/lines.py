@@ -113,7 +113,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
     later = staged(later, "line-later")
 
     # stretch on both sides of each repeat, up to its neighbours
-    hashes = marked.select("_w_key", "H").dropDuplicates(["_w_key"])
+    hashes = staged(marked.select("_w_key", "H").dropDuplicates(["_w_key"]), "line-hashes")  # staged, so that a hot first document can be split in the joins
     near = lambda i: F.get(F.col("R"), i)
     around = F.transform("R", lambda r, i: F.struct(
         r["p"].alias("p"), r["e"].alias("e"), r["f_key"].alias("f_key"), r["f_p"].alias("f_p"),
