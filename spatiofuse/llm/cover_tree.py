@@ -112,17 +112,13 @@ class Best:
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray):
         for at, i in enumerate(rows):
             line, heap = scores[at], self.kept[i]
-            # no more than k of a leaf's rows and their ties can enter
-            good = np.flatnonzero(line >= self.worst[i])
+            # the query's own rows go first; of the others no more than k and their ties can enter
+            good = np.flatnonzero((line >= self.worst[i]) & (ids != self.ids[i]))
             if len(good) > self.k:
                 cut = np.partition(line[good], len(good) - self.k)[len(good) - self.k] if len(good) > 4 * self.k else None
                 good = good if cut is None else good[line[good] >= cut]
-                good = good[np.lexsort((ids[good], -line[good]))]
-                same = ids[good] == self.ids[i]
-                good = good[~same][:self.k]
+                good = good[np.lexsort((ids[good], -line[good]))][:self.k]
             for j in good:
-                if ids[j] == self.ids[i]:
-                    continue
                 entry = (int(line[j]), -int(ids[j]))
                 if len(heap) < self.k:
                     heapq.heappush(heap, entry)

@@ -73,3 +73,15 @@ def test_search_prunes_and_bounds_hold():
     for i in range(40):
         s = queries[i] @ data.T
         assert sorted(best.kept[i]) == sorted(sorted(((int(x), -j) for j, x in enumerate(s)), reverse=True)[:10])
+
+
+def test_own_row_takes_no_place_in_a_leaf():
+    """One leaf of 50 untied unit vectors, each of them a query: the query's own score is the largest."""
+    rng = np.random.default_rng(9)
+    real = rng.normal(0, 0.05, (50, 8)) + rng.normal(0, 1, 8)
+    data = np.floor(real / np.linalg.norm(real, axis=1)[:, None] * 100_000).astype(np.int64)
+    for ids in (np.arange(50), np.arange(50) // 2):  # the second with repeated ids
+        best = ct.search(data, ids, data, ids, 10)
+        for i in range(50):
+            all_others = sorted(((int(data[i] @ data[j]), -int(ids[j])) for j in range(50) if ids[j] != ids[i]), reverse=True)
+            assert sorted(best.kept[i], reverse=True) == all_others[:10]
