@@ -45,11 +45,11 @@ BLOCK = 1024
 SEGMENTS, WIDTH, BITS = 8, 8, 3
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
-    """The 8 bytes of one text's fingerprint, high bit first."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray | None:
+    """The XXH64 of every shingle as rows of 8 bytes, high byte first; None for a text without words."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
     if not parts:
-        return bytes(8)
+        return None
     line = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     stops = np.cumsum(lengths + 1) - 1
@@ -59,7 +59,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
     else:
         spans = zip(starts[:len(parts) - shingle + 1].tolist(), stops[shingle - 1:].tolist())
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in spans]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in spans]), np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
+    """The 8 bytes of one text's fingerprint, high bit first."""
+    hashes = shingle_hashes(text, shingle)
+    if hashes is None:
+        return bytes(8)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[at:at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int32)
