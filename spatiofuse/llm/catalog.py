@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiofuse.llm import bloom_lm, chat, cover_tree, lattice, lines, packing, quality, sharding, simhash, sqltext, url_templates
+from spatiofuse.llm import bloom_lm, chat, cover_tree, importance, lattice, lexical, lines, mixing, packing, quality, sharding, simhash, sqltext, url_templates
 
 #: The packing tokenizer by name, among the installed public ones.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -106,3 +106,29 @@ def op10(docs: DataFrame) -> DataFrame:
     done = lines.deduplicated(docs)
     return done.select("doc_id", F.col("_w_units").cast("long").alias("n_units"), F.col("_w_gone").cast("long").alias("n_removed"),
                        F.length("text").cast("long").alias("chars_left"), F.crc32("text").alias("text_crc32"))
+
+
+def two_tables(name: str, other: str, sql: str | None = None):
+    """Registers a query over ``documents`` and a second table."""
+    def register(fn: Callable[[DataFrame, DataFrame], DataFrame]):
+        QUERIES[name] = lambda spark, folder: fn(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", other)))
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return register
+
+
+@two_tables("op11_importance_resampling", "benchmark", sqltext.IMPORTANCE)
+def op11(docs: DataFrame, target: DataFrame) -> DataFrame:
+    return importance.resampled(docs, target).select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query("op12_source_mixing", "documents")
+def op12(docs: DataFrame) -> DataFrame:
+    done = mixing.by_row(mixing.mixed(docs))
+    return done.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+
+
+@two_tables("op13_ranked_search", "benchmark", sqltext.SEARCH)
+def op13(docs: DataFrame, items: DataFrame) -> DataFrame:
+    return lexical.search(docs, items).select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")

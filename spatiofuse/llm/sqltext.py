@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spatiofuse.llm import quality
+from spatiofuse.llm import importance, lexical, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,3 +47,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars, 'messages' AS layout
 FROM t GROUP BY conv_id"""
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _term_rows(table: str) -> str:
+    """(r, t): every term of every row of a table with its row number."""
+    return f"SELECT r, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS t FROM {table}"
+
+
+# the CRC-32 of a word, bit by bit over its bytes
+_CRC = """xor(4294967295, list_reduce(list_transform(range(octet_length(encode(t))), lambda i: CAST('0x' || hex(encode(t))[2 * i + 1:2 * i + 2] AS BIGINT)),
+  lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), CAST(4294967295 AS BIGINT)))"""
+
+IMPORTANCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), i AS (SELECT row_number() OVER () AS r, text FROM benchmark),
+dt AS ({_term_rows('d')}), it AS ({_term_rows('i')}),
+words AS (SELECT t, ({_CRC}) % {importance.BUCKETS} AS b FROM (SELECT t FROM dt UNION SELECT t FROM it)),
+f AS (SELECT r, b FROM dt JOIN words USING (t)),
+s AS (SELECT b, count(*) AS s FROM f GROUP BY b), t AS (SELECT b, count(*) AS t FROM it JOIN words USING (t) GROUP BY b),
+n AS (SELECT CAST((SELECT count(*) FROM dt) AS DOUBLE) AS s_all, CAST((SELECT count(*) FROM it) AS DOUBLE) AS t_all),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + {importance.BUCKETS}) / ((s::DOUBLE + 1) * (t_all + {importance.BUCKETS})))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b), n),
+w AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS w FROM f JOIN gain USING (b) GROUP BY r),
+h AS (SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight,
+        CAST('0x' || left(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (r)),
+x AS (SELECT r, doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS k, count(*) OVER () AS able FROM x WHERE n_features >= {importance.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= able * {importance.PERCENT} // 100 THEN k END AS rank FROM x LEFT JOIN k USING (r)"""
+
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), i AS (SELECT row_number() OVER () AS r, item_id, text FROM benchmark),
+dt AS ({_term_rows('d')}), tf AS (SELECT r, t, count(*) AS tf FROM dt GROUP BY r, t), len AS (SELECT r, sum(tf) AS n FROM tf GROUP BY r),
+a AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS l FROM len),
+asked AS (SELECT DISTINCT r AS q, t FROM ({_term_rows('i')})),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, a WHERE t IN (SELECT t FROM asked) GROUP BY t),
+m AS (SELECT r, CAST({100 - lexical.LENGTH_PERCENT} + ({lexical.LENGTH_PERCENT} * n * nd) // l AS BIGINT) AS m FROM len, a),
+s AS (SELECT q, r, CAST(sum(w * (({lexical.SCALE} * tf) // (1000 * tf + {lexical.SATURATION} * m))) AS BIGINT) AS score FROM asked JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY q, r),
+k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS k FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, CAST(k AS INT) AS rank, doc_id, score FROM k JOIN i ON i.r = q WHERE k <= {lexical.TOP}"""
