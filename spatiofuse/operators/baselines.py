@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spatiofuse.operators.nearest import interpolate
+from spatiofuse.operators.nearest import idw, nearest
 from spatiofuse.session import cut_lineage
 
 
-def _baseline(frame: DataFrame, k: int, out: str, value: str, fold: str) -> DataFrame:
-    """One join for all folds: a row's neighbours are those of another fold."""
+def fold_neighbors(frame: DataFrame, k: int, value: str = "target", fold: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """Keyed rows and the ``k`` nearest same-day readings of another fold of each probe (one join for all folds)."""
     frame = cut_lineage(frame.select("sensor_id", "date", "lat", "lon", fold, value))  # read by several steps
     pool = (frame.filter(F.col(value).isNotNull())
             .select("date", "lat", "lon", F.col("sensor_id").alias("id"), F.col(fold).alias("fold"), F.col(value).alias("v")))
     rows = frame.select("sensor_id", "date", "lat", "lon", F.col(fold).alias("fold"))
-    found = interpolate(rows.select("date", "lat", "lon", "fold").distinct(), pool, ["v"], k=k, floor=1e-3, not_same="fold")
-    return (rows.join(found, ["date", "lat", "lon", "fold"], "left")
-            .select("sensor_id", "date", F.col("v").alias(out)))
+    return rows, nearest(rows.select("date", "lat", "lon", "fold").distinct(), pool, k, not_same="fold")
+
+
+def spatial_baselines(frame: DataFrame, k: int = 8, value: str = "target", fold: str = "fold") -> DataFrame:
+    """(sensor_id, date, nearest, idw): both baselines from one join; the nearest is the first of the ``k``."""
+    rows, found = fold_neighbors(frame, k, value, fold)
+    keys = ["date", "lat", "lon", "fold"]
+    values = found.groupBy(*keys).agg(F.min_by("p_v", "rank").alias("nearest"), idw(found, keys, "p_v", 1e-3).alias("idw"))
+    return rows.join(values, keys, "left").select("sensor_id", "date", "nearest", "idw")
 
 
 def nearest_baseline(frame: DataFrame, value: str = "target", fold: str = "fold") -> DataFrame:
     """(sensor_id, date, nearest): value of the nearest same-day sensor of another fold."""
-    return _baseline(frame, 1, "nearest", value, fold)
+    return spatial_baselines(frame, 1, value, fold).drop("idw")
 
 
 def idw_baseline(frame: DataFrame, k: int = 8, value: str = "target", fold: str = "fold") -> DataFrame:
     """(sensor_id, date, idw): inverse-distance-squared mean of the k nearest."""
-    return _baseline(frame, k, "idw", value, fold)
+    return spatial_baselines(frame, k, value, fold).drop("nearest")

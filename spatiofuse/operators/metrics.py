@@ -9,6 +9,7 @@ from spatiofuse import constants as C
 from spatiofuse.functions.quantiles import exact_quantiles
 from spatiofuse.functions.scalar import aqi_category, col_of
 from spatiofuse.operators.nearest import nearest_other
+from spatiofuse.session import cut_lineage
 
 
 def scored(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -164,8 +165,8 @@ def morans_by_day(df: DataFrame, value: str = "residual", k: int = 8, min_sensor
     ok = df.filter(F.col(value).isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     days = (ok.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("_mean"))
             .filter(F.col("n") >= max(min_sensors, k + 2)))
-    rows = ok.select("date", id_col, "lat", "lon", value).join(days.select("date", "_mean"), "date")
-    rows = rows.withColumn("z", F.col(value) - F.col("_mean")).drop("_mean")
+    rows = ok.select("date", id_col, "lat", "lon", value).join(F.broadcast(days.select("date", "_mean")), "date")  # one row a day
+    rows = cut_lineage(rows.withColumn("z", F.col(value) - F.col("_mean")).drop("_mean"))  # read three times
     lag = (nearest_other(rows, k, id_col=id_col, payload=("z",))
            .groupBy("date", "id").agg(F.avg("p_z").alias("lag")))
     joined = rows.withColumnRenamed(id_col, "id").join(lag, ["date", "id"])

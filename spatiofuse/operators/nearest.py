@@ -2,7 +2,7 @@
 
 How a probe finds its neighbours without comparing all rows of a day:
 
-1. rows collapse to the finest cells (about 300 m) with their pool counts;
+1. rows collapse to the finest cells (about 150 m) with their pool counts;
 2. a probe cell climbs to the first coarser cell that holds enough pool rows,
    which bounds how far its k-th neighbour can be;
 3. the bound is tightened from that cell's own sub-cells, then again from the
@@ -11,6 +11,14 @@ How a probe finds its neighbours without comparing all rows of a day:
 
 Steps 1-3 touch cell counts only. Copies at one place are reduced to the first
 k (plus one for self-exclusion) by tie-break, which cannot change any answer.
+
+Where the same places are probed in many groups (sensors by day), steps 1-4 run
+once over distinct places and give each an ordered list of pool places. A probe
+takes its rows from that list; it is settled when its k-th row lies nearer than
+the list's end. Probes that are not (most of their list has no row that day) go
+through steps 1-4 with their group. Both ways are exact.
+
+Coarse cells are few but hold every probe, so the climb's join is salted there.
 """
 
 from __future__ import annotations
@@ -21,9 +29,22 @@ from pyspark.sql import functions as F
 
 from spatiofuse.constants import KM_PER_DEGREE
 from spatiofuse.functions import cells as G
+from spatiofuse.operators import quadtree
+from spatiofuse.session import cut_lineage
+
+FINEST = 18
+#: Levels of the climb: two halvings apart.
+LEVELS = list(range(FINEST, -1, -2))
+#: Cells of these levels (1.4 degrees and more) are salted so many times.
+COARSE, SALTS = 8, 16
+#: Pairs up to which the few probes that their lists leave open meet all rows of their group.
+FEW_PAIRS = 2_000_000
+#: Probes per distinct place from which lists of places pay, and the length of a list for k neighbours.
+REPEATED = 3
 
-FINEST = 17
-LEVELS = list(range(FINEST, -1, -1))
+
+def list_length(k: int) -> int:
+    return 3 * k + 4
 
 
 def _size(level) -> Column:
@@ -65,18 +86,99 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ...]
     ``distance`` and ``rank`` (1 = nearest). A probe with fewer than ``k``
     eligible rows gets them all; one with none gets no row.
     """
+    side = [not_same] if not_same else []
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    queries = cut_lineage(queries.filter(placed).select(*on, "lat", "lon", *side))  # both are read by several steps
+    pool = pool.filter(placed)
+    ties = W.partitionBy(*on, "lat", "lon", *side).orderBy(*order)
+    pool = cut_lineage(pool.withColumn("_copy", F.row_number().over(ties)).filter(F.col("_copy") <= k).drop("_copy"))
+    options = {"metric": metric, "order": order, "not_same": not_same}
+    if on:
+        places = cut_lineage(queries.select("lat", "lon").distinct())
+        if queries.count() >= REPEATED * places.count():
+            return _by_places(queries, places, pool, k, on=on, **options)
+    return _by_leaves(queries, pool, k, on=on, **options)
+
+
+def _by_places(queries: DataFrame, places: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ...], metric: str,
+               order: tuple[str, ...], not_same: str | None) -> DataFrame:
+    """``nearest`` by one ordered list of pool places for each distinct probe place."""
+    probe = [*on, "lat", "lon"] + ([not_same] if not_same else [])
+    length = list_length(k)
+    known = pool.select("lat", "lon").distinct()
+    lists = (_by_leaves(places, known, length, on=(), metric=metric, order=("lat", "lon"), not_same=None)
+             .groupBy("lat", "lon").agg(F.collect_list(F.struct("p_lat", "p_lon", "distance")).alias("_list"), F.max("distance").alias("_end")))
+    # beyond a full list other places may follow, at its last distance too
+    lists = cut_lineage(lists.withColumn("_end", F.when(F.size("_list") >= length, F.col("_end"))))
+    rows = pool.select(*on, *[F.col(c).alias(f"p_{c}") for c in pool.columns if c not in on])
+    found = queries.join(lists, ["lat", "lon"]).withColumn("_at", F.explode("_list")).select(*probe, "_end", "_at.*")
+    found = found.join(rows, [*on, "p_lat", "p_lon"])
+    if not_same:
+        found = found.filter(~F.col(not_same).eqNullSafe(F.col(f"p_{not_same}")))
+    ranked = W.partitionBy(*probe).orderBy("distance", *[f"p_{c}" for c in order])
+    found = found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+    sure = F.col("_end").isNull() | (F.col("distance") < F.col("_end"))
+    settled = F.count(F.when(sure, 1)).over(W.partitionBy(*probe))
+    found = cut_lineage(found.withColumn("_settled", F.col("_end").isNull() | (settled >= k)))
+    columns = [*probe, *[c for c in rows.columns if c not in on], "distance", "rank"]
+    done = found.filter("_settled").select(columns)
+    whole = lists.filter("_end IS NULL").select("lat", "lon")  # a short list holds all there is
+    rest = cut_lineage(_without(_without(queries, done, probe), whole, ["lat", "lon"]))
+    n = rest.count()
+    if not n:
+        return done
+    largest = pool.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if n * largest <= FEW_PAIRS:
+        few = F.broadcast(rest).join(rows, list(on))  # ``n`` probes
+        return done.unionByName(_ranked(few, probe, k, metric, order, not_same).select(columns))
+    return done.unionByName(_by_leaves(rest, pool, k, on=on, metric=metric, order=order, not_same=not_same).select(columns))
+
+
+def _without(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose keys (NULL equals NULL) are not in ``other``."""
+    named = other.select(*[F.col(c).alias(f"_o_{c}") for c in keys]).distinct()
+    match = F.lit(True)
+    for c in keys:
+        match = match & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return df.join(named, match, "left_anti")
+
+
+def _by_leaves(queries: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ...], metric: str,
+               order: tuple[str, ...], not_same: str | None) -> DataFrame:
+    """``nearest`` by the leaves of a count-balanced quadtree within each group of ``on``; by cells where its leaf table is too large to send."""
+    tree = quadtree.build(pool, list(on), "lat", "lon", metric, not_same)
+    if tree is None:
+        return _by_cells(queries, pool, k, on=on, metric=metric, order=order, not_same=not_same)
+    shared = queries.sparkSession.sparkContext.broadcast(tree)
+    probe = [*on, "lat", "lon"] + ([not_same] if not_same else [])
+    rows = pool.withColumn("_leaf", quadtree.leaf_column(shared, list(on), "lat", "lon"))
+    rows = cut_lineage(rows.select("_leaf", *[F.col(c).alias(f"p_{c}") for c in pool.columns if c not in on]))
+    asked = cut_lineage(queries.select(*probe, quadtree.candidate_leaves(shared, list(on), "lat", "lon", k).alias("_leaves")))
+    found = asked.withColumn("_leaf", F.explode("_leaves")).drop("_leaves").join(rows, "_leaf").drop("_leaf")
+    return _ranked(found, probe, k, metric, order, not_same)
+
+
+def _ranked(pairs: DataFrame, probe: list[str], k: int, metric: str, order: tuple[str, ...], not_same: str | None) -> DataFrame:
+    """The ``k`` nearest eligible rows of each probe among candidate pairs."""
+    if not_same:
+        pairs = pairs.filter(~F.col(not_same).eqNullSafe(F.col(f"p_{not_same}")))
+    ranked = W.partitionBy(*probe).orderBy("distance", *[f"p_{c}" for c in order])
+    return (pairs.withColumn("distance", G.distance(metric)("lat", "lon", "p_lat", "p_lon"))
+            .withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k))
+
+
+def _by_cells(queries: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ...], metric: str,
+              order: tuple[str, ...], not_same: str | None) -> DataFrame:
+    """``nearest`` by cells within each group of ``on``; coordinates are not NULL and copies are at most ``k``."""
     on = list(on)
     scale = KM_PER_DEGREE if metric == "haversine" else 1.0
     dist = G.distance(metric)
     side = [not_same] if not_same else []
     probe = [*on, "lat", "lon", *side]
 
-    pool = pool.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    ties = W.partitionBy(*on, "lat", "lon", *side).orderBy(*order)
-    pool = pool.withColumn("_copy", F.row_number().over(ties)).filter(F.col("_copy") <= k).drop("_copy")
     pool = pool.select(*on, *[F.col(c).alias(f"p_{c}") for c in pool.columns if c not in on])
     pool = _finest(pool, "p_lat", "p_lon", "pi", "pj")
-    queries = _finest(queries.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()), "lat", "lon", "qi", "qj")
+    queries = _finest(queries, "lat", "lon", "qi", "qj")
 
     # 1. finest-cell counts; with an exclusion also by its value
     p_side = [f"p_{not_same}"] if not_same else []
@@ -90,8 +192,11 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ...]
         enough = by_side.groupBy(*on, "m", "ai", "aj").agg((F.sum("np") - F.max("np")).alias("np"))
     else:
         enough = ancestors.groupBy(*on, "m", "ai", "aj").agg(F.sum("np").alias("np"))
-    enough = enough.filter(F.col("np") >= k).select(*on, "m", "ai", "aj")
-    level = (_at_levels(q_cells, "qi", "qj").join(enough, [*on, "m", "ai", "aj"])
+    coarse = F.col("m") <= COARSE
+    enough = (enough.filter(F.col("np") >= k).select(*on, "m", "ai", "aj")
+              .withColumn("_salt", F.explode(F.when(coarse, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))))
+    climbed = _at_levels(q_cells, "qi", "qj").withColumn("_salt", F.when(coarse, F.pmod(F.hash("qi", "qj"), F.lit(SALTS))).otherwise(0))
+    level = (climbed.join(enough, [*on, "m", "ai", "aj", "_salt"])
              .groupBy(*on, "qi", "qj", *side).agg(F.max("m").alias("m")))
     q_cells = (q_cells.join(level, [*on, "qi", "qj", *side], "left")
                .withColumn("m", F.coalesce("m", F.lit(0))))
@@ -204,24 +309,42 @@ def interpolate(queries: DataFrame, pool: DataFrame, columns: list[str], *, k: i
     return found.groupBy(*keys).agg(*[idw(found, keys, f"p_{c}", floor).alias(c) for c in columns])
 
 
+def nearest_cells(sites: DataFrame, products: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(product, lat, lon, clat, clon): the nearest cell (degree space) of each gridded product to each distinct site.
+
+    ``products``: table and its latitude and longitude columns by name. All are
+    matched by one join; the result is staged, as every product reads it.
+    """
+    sites = sites.select("lat", "lon").distinct()
+    cells, probes = None, None
+    for name, (table, lat, lon) in products.items():
+        label = F.lit(name).alias("product")
+        part = table.select(label, F.col(lat).alias("lat"), F.col(lon).alias("lon")).distinct()
+        asked = sites.select(label, "lat", "lon")
+        cells = part if cells is None else cells.unionByName(part)
+        probes = asked if probes is None else probes.unionByName(asked)
+    found = _by_leaves(*(cut_lineage(t.filter("lat IS NOT NULL AND lon IS NOT NULL")) for t in (probes, cells)), 1,
+                      on=("product",), metric="degree", order=("lat", "lon"), not_same=None)
+    return cut_lineage(found.select("product", "lat", "lon", F.col("p_lat").alias("clat"), F.col("p_lon").alias("clon")))
+
+
 def with_nearest_cell(df: DataFrame, product: DataFrame, columns: list[str], cell_lat: str = "lat",
-                      cell_lon: str = "lon", sites: DataFrame | None = None) -> DataFrame:
+                      cell_lon: str = "lon", sites: DataFrame | None = None, mapped: DataFrame | None = None) -> DataFrame:
     """Left-join a gridded product by nearest cell (degree space) and exact date.
 
     The nearest cell is chosen among all cells of the whole product, so a cell
     without that day's value gives NULL rather than a farther cell's value.
     ``sites`` may give the distinct (lat, lon) of ``df`` from a cheaper table, so
-    that a long plan is not evaluated twice.
+    that a long plan is not evaluated twice; ``mapped`` their cells (lat, lon,
+    clat, clon) where they are known.
     """
     wanted = [c for c in columns if c in product.columns and c not in df.columns]
     if not wanted:
         return df
-    cells = product.select(F.col(cell_lat).alias("lat"), F.col(cell_lon).alias("lon")).distinct()
-    sites = df.select("lat", "lon").distinct() if sites is None else sites
-    found = nearest(sites, cells, 1, on=(), metric="degree", order=("lat", "lon"))
-    mapped = df.join(found.select("lat", "lon", F.col("p_lat").alias("_clat"), F.col("p_lon").alias("_clon")),
-                     ["lat", "lon"], "left")
+    if mapped is None:
+        mapped = nearest_cells(df if sites is None else sites, {"product": (product, cell_lat, cell_lon)})
+    cells = mapped.select("lat", "lon", F.col("clat").alias("_clat"), F.col("clon").alias("_clon"))
     values = (product.select(F.col(cell_lat).alias("_clat"), F.col(cell_lon).alias("_clon"), "date", *wanted)
               .dropDuplicates(["_clat", "_clon", "date"]))
-    joined = mapped.join(values, ["_clat", "_clon", "date"], "left").drop("_clat", "_clon")
+    joined = df.join(cells, ["lat", "lon"], "left").join(values, ["_clat", "_clon", "date"], "left").drop("_clat", "_clon")
     return joined.select(*df.columns, *wanted)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spatiofuse import constants as C
 from spatiofuse.functions import scalar as S
 from spatiofuse.functions.ordering import first_per_key
-from spatiofuse.operators.nearest import idw, nearest, nearest_other, with_nearest_cell
+from spatiofuse.operators.nearest import idw, nearest, nearest_cells, nearest_other, with_nearest_cell
 from spatiofuse.operators.neighbors import with_neighbor_features
 from spatiofuse.session import cut_lineage
 from spatiofuse.sources import ingest
@@ -68,19 +68,30 @@ def nearest_sensor_distance(panel: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("sensor_id"), F.col("distance").alias("dist_to_nearest_sensor"))
 
 
+def product_cells(sites: DataFrame, src: Sources) -> dict[str, DataFrame]:
+    """Nearest cell of every gridded product to each distinct site, from one join: (lat, lon, clat, clon) by product."""
+    products = {"aerosol": (src.aerosol, "cell_lat", "cell_lon"), "forecast": (src.forecast, "lat", "lon"), "reanalysis": (src.reanalysis, "lat", "lon")}
+    products = {name: p for name, p in products.items() if p[0] is not None}
+    if not products:
+        return {}
+    found = nearest_cells(sites, products)
+    return {name: found.filter(F.col("product") == name).drop("product") for name in products}
+
+
 def with_external(df: DataFrame, forecast: DataFrame | None, reanalysis: DataFrame | None,
-                  sites: DataFrame | None = None) -> DataFrame:
+                  cells: dict[str, DataFrame] | None = None) -> DataFrame:
     """Attach optional gridded products; a missing product or column gives NULL columns."""
-    for product, names in ((forecast, C.FORECAST_FEATURES), (reanalysis, C.REANALYSIS_FEATURES)):
+    cells = product_cells(df, Sources(forecast=forecast, reanalysis=reanalysis)) if cells is None else cells
+    for name, product, columns in (("forecast", forecast, C.FORECAST_FEATURES), ("reanalysis", reanalysis, C.REANALYSIS_FEATURES)):
         if product is not None:
-            df = S.with_missing_columns(with_nearest_cell(df, product, names, sites=sites), names)
+            df = S.with_missing_columns(with_nearest_cell(df, product, columns, mapped=cells[name]), columns)
     return df
 
 
-def sensor_day_features(panel: DataFrame, src: Sources, sites: DataFrame | None = None) -> DataFrame:
+def sensor_day_features(panel: DataFrame, src: Sources, cells: dict[str, DataFrame] | None = None) -> DataFrame:
     """Every static feature of the panel; columns already present are kept as they are."""
     df = panel
-    sites = panel.select("lat", "lon").distinct() if sites is None else sites
+    cells = product_cells(panel, src) if cells is None else cells
     if src.tracts is not None and "GEOID" in df.columns:
         df = with_tract_columns(df, src.tracts, C.PROXIMITY_COLUMNS)
     df = S.with_interactions(S.with_calendar(df))
@@ -93,7 +104,7 @@ def sensor_day_features(panel: DataFrame, src: Sources, sites: DataFrame | None
     df = df.withColumn("hms_smoke", F.coalesce(F.col("hms_smoke"), F.lit(0)).cast("short")
                        if "hms_smoke" in df.columns else F.lit(0).cast("short"))
     if src.aerosol is not None:
-        df = with_nearest_cell(df, src.aerosol, ["aod", "cams_pm25", "dust"], "cell_lat", "cell_lon", sites)
+        df = with_nearest_cell(df, src.aerosol, ["aod", "cams_pm25", "dust"], "cell_lat", "cell_lon", mapped=cells["aerosol"])
     if "elevation" not in df.columns:
         if src.sensor_elevation is not None:
             df = with_elevation(df, src.sensor_elevation, src.tract_elevation)
@@ -122,11 +133,11 @@ def training_frame(panel: DataFrame, src: Sources, correction: str = "corrected"
     Out-of-region sensors serve as neighbours before they are dropped as targets.
     """
     base = cut_lineage(S.with_target(panel, correction))  # read several times below
-    sites = base.select("lat", "lon").distinct()
-    df = sensor_day_features(base, src, sites)
+    cells = product_cells(base, src)
+    df = sensor_day_features(base, src, cells)
     around = with_neighbor_features(base.select("sensor_id", "date", "lat", "lon", "target"))
     df = df.join(around.select("sensor_id", "date", *C.NEIGHBOR_COLUMNS), ["sensor_id", "date"])
-    df = with_external(df, src.forecast, src.reanalysis, sites)
+    df = with_external(df, src.forecast, src.reanalysis, cells)
     if src.membership is not None:
         outside = ingest.out_of_region_ids(src.membership)
         if in_region_only:
@@ -180,12 +191,13 @@ def site_features(sites: DataFrame, pool: DataFrame, src: Sources) -> DataFrame:
     """
     s = ingest.canonical_coordinates(sites.withColumn("date", F.to_date("date")))
     s = cut_lineage(s.withColumn("sensor_id", F.concat(F.lit("site_"), F.col("site_id").cast("string"))))
-    places = s.select("lat", "lon").distinct()
+    places = cut_lineage(s.select("lat", "lon").distinct())
+    cells = product_cells(places, src)
     base = s.select("sensor_id", "date", "lat", "lon")
     s = s.join(sampled_sensor_fields(base, pool), ["date", "lat", "lon"], "left")
     s = s.withColumn("hms_smoke", F.coalesce("hms_smoke", F.lit(0)).cast("short"))
     if src.aerosol is not None:
-        s = with_nearest_cell(s, src.aerosol, ["aod", "cams_pm25", "dust"], "cell_lat", "cell_lon", places)
+        s = with_nearest_cell(s, src.aerosol, ["aod", "cams_pm25", "dust"], "cell_lat", "cell_lon", mapped=cells["aerosol"])
     if src.tracts is not None:
         s = s.join(nearest_tract(places, src.tracts, C.PROXIMITY_COLUMNS), ["lat", "lon"], "left")
         if src.tract_elevation is not None:
@@ -195,7 +207,7 @@ def site_features(sites: DataFrame, pool: DataFrame, src: Sources) -> DataFrame:
     s = S.with_interactions(S.with_calendar(s))
     around = with_neighbor_features(base, pool, "target")
     s = s.join(around.select("sensor_id", "date", *C.NEIGHBOR_COLUMNS), ["sensor_id", "date"])
-    s = with_external(s, src.forecast, src.reanalysis, places)
+    s = with_external(s, src.forecast, src.reanalysis, cells)
     return S.with_missing_columns(s, C.PHYSICAL_FEATURES)
 
 
