@@ -1,15 +1,48 @@
-"""Percentile bootstrap confidence intervals by resampling cluster totals."""
+"""Percentile bootstrap confidence intervals by Poisson weights of clusters.
+
+A draw gives every cluster a Poisson(1) weight, the limit of how often one of many
+clusters is picked with replacement. The weight comes from a hash of (draw, cluster)
+that is pairwise independent, so a draw needs no list of picks and no join: each task
+adds weight x totals of its clusters into one array of draws, and the arrays are summed.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import math
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatiofuse.functions.ordering import hash_int, shuffle_key, whole_rank
+from spatiofuse.functions.ordering import hash_int, shuffle_key
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+PRIME = 2**31 - 1
+#: Hash values from which the Poisson(1) weight is at least 1, 2, ... (its distribution function, scaled).
+STEPS = [math.floor(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(10)]
+#: Clusters weighed at a time.
+_CHUNK = 2048
+
+
+def draw_constants(n_boot: int, seed) -> np.ndarray:
+    """Multiplier and offset of each draw's hash, two rows."""
+    digests = [hashlib.md5(f"{seed}:{b}".encode()).hexdigest() for b in range(n_boot)]
+    return np.array([[int(d[:8], 16) % (PRIME - 1) + 1 for d in digests], [int(d[8:16], 16) % PRIME for d in digests]], np.int64).reshape(2, n_boot)
+
+
+def weights(keys: np.ndarray, constants: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights: a row for each cluster key, a column for each draw."""
+    h = (keys[:, None] * constants[0] + constants[1]) % PRIME
+    return np.searchsorted(STEPS, h.ravel(), side="right").reshape(h.shape)
 
 
 def _clusters(df: DataFrame, cluster: str | None, row_key: list[str], totals: dict[str, Column], seed) -> DataFrame:
-    """One row of totals per cluster, numbered 1..C in seeded order.
+    """One row of totals per cluster and its ``key`` below ``PRIME``.
 
     With no cluster column, or a single cluster, rows are their own clusters.
     """
@@ -20,21 +53,26 @@ def _clusters(df: DataFrame, cluster: str | None, row_key: list[str], totals: di
         distinct = df.select(F.count_distinct(cluster)).scalar()
         label = F.when(distinct < 2, row).otherwise(F.col(cluster).cast("string"))
     stats = df.groupBy(label.alias("_cluster")).agg(*[e.alias(k) for k, e in totals.items()])
-    ranked = whole_rank(stats.withColumn("_key", shuffle_key(f"{seed}:cluster", "_cluster")), "_key", "slot")
-    return ranked.drop("_key", "_cluster")
+    return stats.withColumn("key", hash_int(shuffle_key(f"{seed}:cluster", "_cluster")) % PRIME).drop("_cluster")
 
 
 def _resampled(clusters: DataFrame, names: list[str], n_boot: int, seed) -> DataFrame:
-    """Totals of each bootstrap draw: C clusters picked with replacement by hash.
+    """(b, totals) of each draw: one pass over the clusters, ``n_boot`` rows out of every task."""
+    constants = draw_constants(n_boot, seed)
 
-    Each cluster row emits one pick per draw, so the draw table is spread like the
-    clusters; picks are counted per (draw, cluster) before they meet the totals.
-    """
-    count = clusters.select(F.count(F.lit(1))).scalar()
-    draws = (clusters.select("slot").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-             .withColumn("pick", hash_int(shuffle_key(seed, "b", "slot")) % count + 1)
-             .select("b", F.col("pick").alias("slot")))
-    return draws.join(clusters, "slot").groupBy("b").agg(*[F.sum(c).alias(c) for c in names])
+    def run(batches):
+        sums, met = np.zeros((n_boot, len(names))), False
+        for batch in batches:
+            met = met or batch.num_rows > 0
+            keys = batch.column(0).to_numpy()
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]])
+            for at in range(0, len(keys), _CHUNK):
+                sums += weights(keys[at:at + _CHUNK], constants).T.astype(float) @ values[at:at + _CHUNK]
+        if met:
+            yield pa.record_batch([pa.array(np.arange(n_boot)), *[pa.array(sums[:, i]) for i in range(len(names))]], names=["b", *names])
+
+    parts = clusters.select("key", *names).mapInArrow(run, "b bigint, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("b").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _interval(column: str, name: str, level: float = 0.95) -> list[Column]:
@@ -53,7 +91,7 @@ def bootstrap_ci(df: DataFrame, y: str, pred: str, cluster: str | None = None,
     draws = _resampled(_clusters(ok, cluster, list(row_key), totals, seed), list(totals), n_boot, seed)
     ss_tot = F.col("sy2") - F.col("sy") * F.col("sy") / F.col("n")
     draws = draws.select(F.when(ss_tot > 0, F.lit(1.0) - F.col("se2") / ss_tot).alias("r2"),
-                         F.sqrt(F.col("se2") / F.col("n")).alias("rmse"))
+                         F.when(F.col("n") > 0, F.sqrt(F.col("se2") / F.col("n"))).alias("rmse"))
     return draws.agg(*_interval("r2", "r2"), *_interval("rmse", "rmse"), F.count(F.lit(1)).alias("n_boot"))
 
 

@@ -94,18 +94,18 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ...]
     pool = cut_lineage(pool.withColumn("_copy", F.row_number().over(ties)).filter(F.col("_copy") <= k).drop("_copy"))
     options = {"metric": metric, "order": order, "not_same": not_same}
     if on:
-        places = cut_lineage(queries.select("lat", "lon").distinct())
-        if queries.count() >= REPEATED * places.count():
-            return _by_places(queries, places, pool, k, on=on, **options)
+        size = queries.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct("lat", "lon")).alias("places")).first()
+        if size["n"] >= REPEATED * size["places"]:
+            return _by_places(queries, pool, k, on=on, **options)
     return _by_leaves(queries, pool, k, on=on, **options)
 
 
-def _by_places(queries: DataFrame, places: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ...], metric: str,
+def _by_places(queries: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ...], metric: str,
                order: tuple[str, ...], not_same: str | None) -> DataFrame:
     """``nearest`` by one ordered list of pool places for each distinct probe place."""
     probe = [*on, "lat", "lon"] + ([not_same] if not_same else [])
     length = list_length(k)
-    known = pool.select("lat", "lon").distinct()
+    places, known = queries.select("lat", "lon").distinct(), pool.select("lat", "lon").distinct()
     lists = (_by_leaves(places, known, length, on=(), metric=metric, order=("lat", "lon"), not_same=None)
              .groupBy("lat", "lon").agg(F.collect_list(F.struct("p_lat", "p_lon", "distance")).alias("_list"), F.max("distance").alias("_end")))
     # beyond a full list other places may follow, at its last distance too
@@ -123,10 +123,11 @@ def _by_places(queries: DataFrame, places: DataFrame, pool: DataFrame, k: int, *
     columns = [*probe, *[c for c in rows.columns if c not in on], "distance", "rank"]
     done = found.filter("_settled").select(columns)
     whole = lists.filter("_end IS NULL").select("lat", "lon")  # a short list holds all there is
-    rest = cut_lineage(_without(_without(queries, done, probe), whole, ["lat", "lon"]))
+    rest = _without(_without(queries, done, probe), whole, ["lat", "lon"])
     n = rest.count()
     if not n:
         return done
+    rest = cut_lineage(rest)
     largest = pool.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if n * largest <= FEW_PAIRS:
         few = F.broadcast(rest).join(rows, list(on))  # ``n`` probes
@@ -152,8 +153,8 @@ def _by_leaves(queries: DataFrame, pool: DataFrame, k: int, *, on: tuple[str, ..
     shared = queries.sparkSession.sparkContext.broadcast(tree)
     probe = [*on, "lat", "lon"] + ([not_same] if not_same else [])
     rows = pool.withColumn("_leaf", quadtree.leaf_column(shared, list(on), "lat", "lon"))
-    rows = cut_lineage(rows.select("_leaf", *[F.col(c).alias(f"p_{c}") for c in pool.columns if c not in on]))
-    asked = cut_lineage(queries.select(*probe, quadtree.candidate_leaves(shared, list(on), "lat", "lon", k).alias("_leaves")))
+    rows = rows.select("_leaf", *[F.col(c).alias(f"p_{c}") for c in pool.columns if c not in on])
+    asked = queries.select(*probe, quadtree.candidate_leaves(shared, list(on), "lat", "lon", k).alias("_leaves"))
     found = asked.withColumn("_leaf", F.explode("_leaves")).drop("_leaves").join(rows, "_leaf").drop("_leaf")
     return _ranked(found, probe, k, metric, order, not_same)
 

@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spatiofuse.constants import EARTH_RADIUS_KM
-from spatiofuse.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -160,7 +159,6 @@ def build(pool: DataFrame, on: list[str], lat: str, lon: str, metric: str, side:
             F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east"))
     else:
         nodes = nodes.withColumn("sure", F.col("n"))
-    nodes = cut_lineage(nodes)
     split = nodes.filter((F.col("n") > CAPACITY) & (F.col("m") < FINEST)).select(
         "key", (F.col("m") + _STEP).alias("m"), F.col("ai").alias("pi"), F.col("aj").alias("pj"))
     ends = nodes.filter((F.col("n") <= CAPACITY) | (F.col("m") == FINEST)).withColumns({"pi": F.shiftright("ai", _STEP), "pj": F.shiftright("aj", _STEP)})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spatiofuse import constants as C
 from spatiofuse.functions.quantiles import exact_quantiles
-from spatiofuse.functions.scalar import with_calendar, with_interactions
+from spatiofuse.operators.folds import with_sensor_folds
 from spatiofuse.operators import baselines, blend, bootstrap, conformal, folds, grid, learners, metrics, neighbors, reports
 from spatiofuse.plans import features, fuse, validate
 from spatiofuse.plans.catalog.base import folded, panel, query, reference_daily, sources
@@ -33,8 +33,7 @@ def oof_table(i):
     """Keyed rows with the nearest and IDW out-of-fold predictions."""
     f = cut_lineage(folded(i).select("sensor_id", "date", "fold", "lat", "lon", "target", "pm25", "n_err"))
     keys = ["sensor_id", "date"]
-    near, idw = baselines.nearest_baseline(f), baselines.idw_baseline(f)
-    return cut_lineage(f.join(near, keys).join(idw, keys))
+    return cut_lineage(f.join(baselines.spatial_baselines(f), keys))
 
 
 # Metrics on the direct pair (raw reading as the prediction of the target): cheap inputs, every row.
@@ -273,11 +272,18 @@ def recentred_band(i):
 
 
 def boot_sql(row_sums: str, draw: str, final: str, extra: str = "") -> str:
+    weight = " + ".join(f"(h >= {step})::INT" for step in bootstrap.STEPS)
+    names = [part.rsplit(" AS ", 1)[1] for part in ("COUNT(*) AS n, " + row_sums).split(", ")]
+    p = bootstrap.PRIME
     return sql(out(final, extra, ""), "panel",
         ok="SELECT sensor_id, date, target AS y, pm25 AS p, pm25*0.5::DOUBLE AS q FROM panel WHERE target IS NOT NULL",
-        clusters=f"SELECT row_number() OVER (ORDER BY md5('0:cluster:' || sensor_id)) AS slot, * FROM (SELECT sensor_id, COUNT(*) AS n, {row_sums} FROM ok, (SELECT AVG(y) AS m FROM ok) GROUP BY 1)",
-        draws=f"""SELECT b, {draw} FROM (SELECT b, ('0x' || substr(md5('0:' || b || ':' || slot), 1, 8))::BIGINT % (SELECT COUNT(*) FROM clusters) + 1 AS pick FROM clusters, range(0, 1000) t(b)) d
- JOIN clusters c ON c.slot = d.pick GROUP BY b""")
+        clusters=f"""SELECT *, ('0x' || substr(md5('0:cluster:' || sensor_id), 1, 8))::BIGINT % {p} AS key
+ FROM (SELECT sensor_id, COUNT(*) AS n, {row_sums} FROM ok, (SELECT AVG(y) AS m FROM ok) GROUP BY 1)""",
+        constants=f"""SELECT b, ('0x' || substr(md5('0:' || b), 1, 8))::BIGINT % {p - 1} + 1 AS c1, ('0x' || substr(md5('0:' || b), 9, 8))::BIGINT % {p} AS c0
+ FROM range(0, 1000) t(b)""",
+        weighed=f"SELECT b, ({weight}) AS w, c.* FROM (SELECT b, (key * c1 + c0) % {p} AS h, clusters.* FROM clusters, constants) c",
+        sums=f"SELECT b, {', '.join(f'SUM(w * {c})::DOUBLE AS {c}' for c in names)} FROM weighed GROUP BY b",
+        draws=f"SELECT b, {draw} FROM sums GROUP BY b")
 
 
 @query("bootstrap_ci", boot_sql("SUM(y - m) AS sy, SUM((y - m)*(y - m)) AS sy2, SUM((p - y)*(p - y)) AS se2",
@@ -302,16 +308,11 @@ def enriched_metrics(i):
 
 # Learners --------------------------------------------------------------------
 
-SMALL = {"forest": {"numTrees": 8, "maxDepth": 5}, "boosted": {"maxIter": 6, "maxDepth": 3}, "huber": {"maxIter": 20}}
-SMALL_FEATURES = [*C.MET_COLUMNS, "lat", "lon", "dow_sin", "dow_cos", "temp_x_humidity", "nbr_pm25_50km", "nbr_std_50km", "nbr_pm25_100km"]
-
-
-def learning_frame(i):
-    """Panel with calendar, interactions, neighbours and three sensor folds, plus the per-fold overrides."""
-    df = cut_lineage(with_interactions(with_calendar(folded(i, 3))))
-    around = neighbors.with_neighbor_features(df.select("sensor_id", "date", "lat", "lon", "target"))
-    frame = cut_lineage(df.join(around.select("sensor_id", "date", *C.NEIGHBOR_COLUMNS), ["sensor_id", "date"]))
-    return frame, cut_lineage(neighbors.neighbor_features_per_fold(df))
+def learning_frame(i, n: int = C.SENSOR_FOLDS):
+    """Training frame with sensor folds, its model inputs, and the neighbour columns recomputed without each fold."""
+    df = features.training_frame(panel(i), sources(i), keep_demographics=True)
+    df = cut_lineage(with_sensor_folds(df.withColumns({"latitude": F.col("lat"), "longitude": F.col("lon")}), n))
+    return df, features.feature_columns(df), cut_lineage(neighbors.neighbor_features_per_fold(df))
 
 
 @query("train_medians", sql(out("SELECT fold, quantile_cont(humidity, 0.5) AS humidity, quantile_cont(temperature, 0.5) AS temperature, quantile_cont(target, 0.5) AS target FROM folded GROUP BY 1", "humidity temperature target", ""), "folded"))
@@ -323,38 +324,37 @@ def train_medians(i):
 
 @query("cross_validated_learners")
 def cross_validated_learners(i):
-    frame, overrides = learning_frame(i)
-    oof, _ = learners.cross_validated(frame, SMALL_FEATURES, SMALL, overrides)
+    frame, names, overrides = learning_frame(i)
+    oof, _ = learners.cross_validated(frame, names, None, overrides)
     return oof.select("sensor_id", "date", "fold", "target", "oof", "oof_lofo")
 
 
 @query("quantile_heads")
 def quantile_heads(i):
-    frame, overrides = learning_frame(i)
-    return learners.quantile_out_of_fold(frame, SMALL_FEATURES, overrides=overrides, iterations=2)
+    frame, names, overrides = learning_frame(i)
+    return learners.quantile_out_of_fold(frame, names, overrides=overrides)
 
 
 @query("permutation_importance")
 def permutation_importance(i):
-    frame, _ = learning_frame(i)
-    bundle = learners.fit_learners(frame, SMALL_FEATURES, {"huber": {"maxIter": 20}})
-    bundle.weights = {"huber": 1.0}
-    ranked = learners.permutation_importance(frame, bundle.predict, ["nbr_pm25_50km", "humidity", "lat"], repeats=2)
-    return learners.top_importances(ranked)
+    frame, names, _ = learning_frame(i)
+    bundle = learners.fit_learners(frame, names, learners.resolve_learners())
+    return learners.top_importances(learners.permutation_importance(frame, bundle.predict, names))
 
 
 @query("fused_prediction")
 def fused_prediction(i):
-    t = fuse.with_residual_kriging(oof_table(i), "idw")
-    t = t.withColumns({"q05": F.col("idw") * 0.5, "q50": F.col("idw"), "q95": F.col("idw") * 1.6})
+    frame, names, overrides = learning_frame(i)
+    bands = learners.quantile_out_of_fold(frame, names, overrides=overrides).select("sensor_id", "date", "q05", "q50", "q95")
+    t = fuse.with_residual_kriging(oof_table(i), "idw").join(bands, ["sensor_id", "date"])
     result = fuse.fuse(t, ["nearest", "idw", "rk"])
     return result.table.select("sensor_id", "date", "is_cal", "centre", "band_lo", "band_hi")
 
 
 @query("feature_set_ablation")
 def feature_set_ablation(i):
-    frame, overrides = learning_frame(i)
-    return validate.ablation(frame, SMALL_FEATURES, ["no_neighbor", "no_external"], overrides, {"huber": {"maxIter": 20}})
+    frame, names, overrides = learning_frame(i)
+    return validate.ablation(frame, names, ["no_neighbor", "no_external", "plus_demographics"], overrides, demographics=C.DEMOGRAPHIC_COLUMNS)
 
 
 def deployed(i):
@@ -362,8 +362,7 @@ def deployed(i):
     src = sources(i)
     frame = cut_lineage(features.training_frame(panel(i), src))
     frame = frame.withColumns({"latitude": F.col("lat"), "longitude": F.col("lon")})
-    names = [f for f in features.feature_columns(frame) if f != "hms_smoke"]
-    bundle = learners.fit_full(frame, names, {"forest": {"numTrees": 5, "maxDepth": 4}, "huber": {"maxIter": 10}}, inner_folds=2)
+    bundle = learners.fit_full(frame, features.feature_columns(frame))
     return src, frame, bundle
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spatiofuse import constants as C
-from spatiofuse.operators import baselines, grid, kriging, metrics, nearest, neighbors
+from spatiofuse.operators import baselines, grid, kriging, metrics, nearest, neighbors, variogram
 from spatiofuse.operators.folds import held_out_ids
 from spatiofuse.plans import features
 from spatiofuse.plans.catalog.base import folded, panel, query, reference_daily, sources
@@ -355,6 +355,36 @@ def idw_baseline(i):
     return baselines.idw_baseline(folded(i))
 
 
+def variogram_sql() -> str:
+    m = variogram.MOMENTS
+    cell, sub = f"(side / {variogram.CELLS})", f"(side / {variogram.CELLS * variogram.SUBCELLS})"
+    sums = "COUNT(*)::DOUBLE AS n, SUM(v) AS sv, SUM(v*v) AS svv, SUM(x) AS sx, SUM(y) AS sy, SUM(x*x + y*y) AS srr"
+    total = ", ".join(f"SUM({c}) AS {c}" for c in m)
+    between = """a.date, a.fold, a.n*b.n AS pairs, b.n*a.srr + a.n*b.srr - 2*(a.sx*b.sx + a.sy*b.sy) AS dd,
+ 0.5::DOUBLE*(b.n*a.svv + a.n*b.svv - 2*a.sv*b.sv) AS g"""
+    return sql(out("""SELECT date, fold, bin, sqrt(greatest(SUM(dd), 0)/SUM(pairs)) AS lag, greatest(SUM(g), 0)/SUM(pairs) AS gamma, SUM(pairs) AS pairs
+ FROM binned GROUP BY 1, 2, 3""", "lag gamma pairs"), "folded",
+        box="""SELECT (MIN(lat) + MAX(lat))/2 AS la, (MIN(lon) + MAX(lon))/2 AS lo,
+ greatest(MAX(lat) - MIN(lat), (MAX(lon) - MIN(lon))*cos(radians((MIN(lat) + MAX(lat))/2))) AS side FROM folded""",
+        pts="SELECT date, fold, target AS v, lat - la AS y, (lon - lo)*cos(radians(la)) AS x, side FROM folded, box WHERE target IS NOT NULL",
+        own=f"""SELECT date, fold, floor((y + side/2)/{cell}) AS ci, floor((x + side/2)/{cell}) AS cj, floor((y + side/2)/{sub}) AS si, floor((x + side/2)/{sub}) AS sj, {sums}
+ FROM pts GROUP BY 1, 2, 3, 4, 5, 6""",
+        whole=f"SELECT date, ci, cj, si, sj, {total} FROM own GROUP BY 1, 2, 3, 4, 5",
+        fine=f"""SELECT * FROM (SELECT w.date, f.fold, w.ci, w.cj, w.si, w.sj, {', '.join(f'w.{c} - coalesce(o.{c}, 0) AS {c}' for c in m)}
+ FROM whole w JOIN (SELECT DISTINCT date, fold FROM own) f ON f.date = w.date LEFT JOIN own o ON o.date = w.date AND o.fold = f.fold AND o.si = w.si AND o.sj = w.sj) WHERE n > 0""",
+        coarse=f"SELECT date, fold, ci, cj, {total} FROM fine GROUP BY 1, 2, 3, 4",
+        every=f"""SELECT {between} FROM coarse a JOIN coarse b ON a.date = b.date AND a.fold = b.fold AND (a.ci < b.ci OR (a.ci = b.ci AND a.cj < b.cj))
+ AND greatest(abs(a.ci - b.ci), abs(a.cj - b.cj)) <= {variogram.CELLS // 3 + 1}
+ UNION ALL SELECT {between} FROM fine a JOIN fine b ON a.date = b.date AND a.fold = b.fold AND a.ci = b.ci AND a.cj = b.cj AND (a.si < b.si OR (a.si = b.si AND a.sj < b.sj))
+ UNION ALL SELECT date, fold, n*(n - 1)/2, n*srr - sx*sx - sy*sy, 0.5::DOUBLE*(n*svv - sv*sv) FROM fine WHERE n > 1""",
+        binned=f"""SELECT * FROM (SELECT every.*, CAST(floor(sqrt(greatest(dd, 0)/pairs)/(side/3)*{variogram.LAGS}) AS BIGINT) AS bin FROM every, box) WHERE bin < {variogram.LAGS}""")
+
+
+@query("variogram_bins", variogram_sql())
+def variogram_bins(i):
+    return variogram.variogram_bins(folded(i), "target", "fold")
+
+
 @query("kriging_baseline")
 def kriging_baseline(i):
     return kriging.kriging_baseline(folded(i))

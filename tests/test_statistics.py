@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spatiofuse.functions import scalar as S
 from spatiofuse.functions.quantiles import exact_quantiles
-from spatiofuse.operators import blend, bootstrap, conformal, folds, kriging, metrics, reports
+from spatiofuse.operators import blend, bootstrap, conformal, folds, kriging, metrics, reports, variogram
 from spatiofuse.operators.blend import Gram
 
 
@@ -147,6 +147,77 @@ def test_kriging_weights_are_exact_at_points_and_sum_to_one():
     assert abs(sill - 2.0) < 0.2 and abs(reach - 1.8) < 0.3 and abs(nugget - 0.5) < 0.2
 
 
+def binned_pairs(points, box):
+    """Lag, semivariance and number of pairs of each bin, pair by pair."""
+    cell = box["side"] / variogram.CELLS
+    sets = {}
+    for a in range(len(points)):
+        for b in range(a):
+            (y, x, v), (y2, x2, v2) = [((p[0] - box["lat"]), (p[1] - box["lon"]) * np.cos(np.radians(box["lat"])), p[2]) for p in (points[a], points[b])]
+            at = lambda size: tuple(sorted(tuple(int(np.floor((c + box["side"] / 2) / size)) for c in p) for p in ((y, x), (y2, x2))))
+            cells = at(cell)
+            key = at(cell / variogram.SUBCELLS) if cells[0] == cells[1] else cells
+            n, dd, g = sets.get((cells[0] == cells[1], key), (0, 0.0, 0.0))
+            sets[(cells[0] == cells[1], key)] = n + 1, dd + (y - y2) ** 2 + (x - x2) ** 2, g + 0.5 * (v - v2) ** 2
+    bins = {}
+    for n, dd, g in sets.values():
+        k = int(np.sqrt(dd / n) / (box["side"] / 3) * variogram.LAGS)
+        if k < variogram.LAGS:
+            bins[k] = np.add(bins.get(k, 0), (n, dd, g))
+    out = np.array([bins[k] for k in sorted(bins)])
+    return np.sqrt(out[:, 1] / out[:, 0]), out[:, 2] / out[:, 0], out[:, 0]
+
+
+def test_variogram_bins_are_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    rows = [(dt.date(2024, 1, 1 + i % 2), float(rng.choice([29.0, 29.1, rng.uniform(28, 33)])), float(rng.uniform(-99, -95)), float(rng.normal()), i % 3) for i in range(150)]
+    df = spark.createDataFrame([*rows, (dt.date(2024, 1, 1), None, 1.0, 2.0, 0), (dt.date(2024, 1, 1), 30.0, -97.0, None, 0)], "date date, lat double, lon double, v double, fold int")
+    box = variogram.extent(df)
+    for fold in (None, "fold"):
+        got = variogram.variogram_bins(df, "v", fold).orderBy("bin").collect()
+        for d in {r[0] for r in rows}:
+            for f in (range(3) if fold else [None]):
+                mine = [r for r in got if r["date"] == d and (f is None or r["fold"] == f)]
+                want = binned_pairs([r[1:4] for r in rows if r[0] == d and (f is None or r[4] != f)], box)
+                for column, values in zip(("lag", "gamma", "pairs"), want):
+                    assert np.allclose([r[column] for r in mine], values, atol=1e-9)
+    assert variogram.variogram_bins(df.limit(0), "v").count() == 0
+    assert variogram.variogram_bins(df.filter("lat = 29.0").limit(1), "v").count() == 0
+
+
+def test_a_planted_range_is_recovered(spark):
+    """Values drawn with an exponential covariance: the fitted range is within a fifth, averaged over days."""
+    rng = np.random.default_rng(5)
+    n, reach, days = 260, 1.5, 12
+    lat, lon = rng.uniform(28, 33, n), rng.uniform(-100, -94.5, n)
+    d = kriging.arc_degrees(lat[:, None], lon[:, None], lat, lon)
+    root = np.linalg.cholesky(4.0 * np.exp(-3.0 * d / reach) + 1e-9 * np.eye(n))
+    rows = [(dt.date(2024, 1, 1 + t), float(lat[i]), float(lon[i]), float(v)) for t in range(days) for i, v in enumerate(root @ rng.normal(size=n))]
+    bins = variogram.variogram_bins(spark.createDataFrame(rows, "date date, lat double, lon double, v double"), "v").toPandas()
+    found = [kriging.fit_variogram(*(part.sort_values("lag")[c].to_numpy(float) for c in ("lag", "gamma", "pairs")))[1] for _, part in bins.groupby("date")]
+    assert abs(np.mean(found) / reach - 1) < 0.2
+
+
+def test_poisson_weights_resample_like_picks(spark):
+    """Mean and variance of a weight, independence of draws, and the interval of a plain cluster bootstrap."""
+    keys = np.random.default_rng(0).integers(0, bootstrap.PRIME, 4000)
+    w = bootstrap.weights(keys, bootstrap.draw_constants(200, 7))
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06
+    rng = np.random.default_rng(1)
+    y = rng.normal(20, 6, 600)
+    p = y + rng.normal(0, 3, 600) + np.repeat(rng.normal(0, 2, 60), 10)
+    df = spark.createDataFrame([(i // 10, dt.date(2024, 1, 1 + i % 10), float(a), float(b)) for i, (a, b) in enumerate(zip(y, p))], "sensor_id long, date date, y double, p double")
+    got = bootstrap.bootstrap_ci(df, "y", "p", "sensor_id").first()
+    draws = []
+    for _ in range(1000):
+        at = (rng.integers(0, 60, 60)[:, None] * 10 + np.arange(10)).ravel()
+        draws.append((1 - ((p[at] - y[at]) ** 2).sum() / ((y[at] - y[at].mean()) ** 2).sum(), np.sqrt(((p[at] - y[at]) ** 2).mean())))
+    want = np.quantile(np.array(draws), [0.025, 0.975], axis=0)
+    width = want[1] - want[0]
+    assert np.allclose([got.r2_lo, got.rmse_lo], want[0], atol=0.2 * width.max()) and np.allclose([got.r2_hi, got.rmse_hi], want[1], atol=0.2 * width.max())
+    assert got.n_boot == 1000
+
+
 def test_local_kriging_against_brute_force(spark):
     """Every training row can serve; held-out folds never do; few neighbours fall back to inverse distances."""
     rng = np.random.default_rng(4)
@@ -166,14 +237,12 @@ def test_local_kriging_against_brute_force(spark):
         pool = [r for r in rows if r[1] == d and r[5] != fold]
         return sorted(pool, key=lambda r: (kriging.arc_degrees(la, lo, r[2], r[3]), r[0]))[:10]
 
-    for f in range(3):  # the day's variogram over the held-out fold's neighbour lists
+    box = variogram.extent(df)
+    for f in range(3):  # the day's variogram over all pairs of the other folds
         mine = [r for r in rows if r[1] == day[0] and r[5] == f]
         lists = {r[0]: near(f, day[0], r[2], r[3]) for r in mine}
-        d, g = zip(*[(float(kriging.arc_degrees(n[0][2], n[0][3], o[2], o[3])), 0.5 * (n[0][4] - o[4]) ** 2) for n in lists.values() for o in n[1:]])
-        d, g = np.array(d), np.array(g)
-        which = np.minimum((d / d.max() * kriging.LAGS).astype(int), kriging.LAGS - 1)
-        bins = sorted({int(w) for w in which})
-        model = np.array([kriging.fit_variogram(np.array([d[which == b].mean() for b in bins]), np.array([g[which == b].mean() for b in bins]))])
+        lag, gamma, pairs = binned_pairs([r[2:5] for r in rows if r[1] == day[0] and r[5] != f], box)
+        model = np.array([kriging.fit_variogram(lag, gamma, pairs)])
         for r in mine:
             p = np.array([[o[2:5] for o in lists[r[0]]]])
             w = kriging.local_weights(p[:, :, 0], p[:, :, 1], np.array([r[2]]), np.array([r[3]]), model)
