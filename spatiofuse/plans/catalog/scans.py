@@ -12,6 +12,7 @@ from spatiofuse.operators.metrics import residual_columns
 from spatiofuse.plans.catalog.base import folded, panel, query, reference_daily
 from spatiofuse.plans.catalog.sqltext import hav, out, sql
 from spatiofuse.plans.features import feature_columns
+from spatiofuse.session import cut_lineage, new_path
 from spatiofuse.sources import ingest, sinks
 
 PANEL_COLUMNS = ["sensor_id", "date", "pm25", "humidity", "temperature", "lat", "lon", "GEOID", "target"]
@@ -45,32 +46,58 @@ def out_of_region_ids(i):
     return ingest.out_of_region_ids(i.membership)
 
 
-@query("elevation_map_scan", sql("""
+ELEVATION_SQL = sql("""
 SELECT CAST(sensor_id AS VARCHAR) AS id, 'sensor' AS kind, round((sensor_id*7) % 900 + 0.5, 6)::DOUBLE AS elevation FROM ids WHERE sensor_id % 14 <> 0 AND sensor_id % 2 = 0
 UNION ALL SELECT lpad(CAST(sensor_id AS VARCHAR), 11, '0'), 'tract', (sensor_id*11 % 800)::DOUBLE FROM ids WHERE sensor_id % 3 <> 0""",
-    "sensor_days", ids="SELECT DISTINCT sensor_id FROM sensor_days"))
-def elevation_map_scan(i):
-    sensors, tracts = ingest.elevation_maps(i.elevation_documents)
+    "sensor_days", ids="SELECT DISTINCT sensor_id FROM sensor_days")
+
+
+def elevation_rows(sensors, tracts):
     return (sensors.select(F.col("sensor_id").cast("string").alias("id"), F.lit("sensor").alias("kind"), "elevation")
             .unionByName(tracts.select(F.col("GEOID").alias("id"), F.lit("tract").alias("kind"), "elevation")))
 
 
+@query("elevation_map_scan", ELEVATION_SQL)
+def elevation_map_scan(i):
+    return elevation_rows(*ingest.elevation_maps(i.elevation_documents))
+
+
+@query("elevation_file_scan", ELEVATION_SQL)
+def elevation_file_scan(i):
+    path = new_path(i.spark, "elevations")
+    sinks.write_documents(i.elevation_lines(), path)
+    return elevation_rows(*ingest.read_elevations(i.spark, path))
+
+
 @query("tract_lookup_scan", sql(out("""
 SELECT lpad(GEOID, 11, '0') AS GEOID, lat, lon, traffic_proximity FROM tracts""", "lat lon traffic_proximity", ""), "tracts"))
 def tract_lookup_scan(i):
     return ingest.tract_lookup(i.tracts).select("GEOID", "lat", "lon", "traffic_proximity")
 
 
-@query("polygon_rings", sql(out("""
+RINGS_SQL = sql(out("""
 SELECT GEOID, 0 AS part, 4 AS n_points, lon AS x0, lat AS y0, lon + 0.5 AS x_max FROM tracts
 UNION ALL SELECT GEOID, 1, 4, lon + 1.0, lat, lon + 1.5 FROM tracts WHERE CAST(GEOID AS BIGINT) % 3 = 0""",
-    "x0 y0 x_max", ""), "tracts"))
-def polygon_rings(i):
-    r = ingest.exterior_rings(i.tract_features)
+    "x0 y0 x_max", ""), "tracts")
+
+
+def ring_rows(r):
     return r.select("GEOID", "part", F.size("ring").alias("n_points"), F.col("ring")[0][0].alias("x0"),
                     F.col("ring")[0][1].alias("y0"), F.array_max(F.transform("ring", lambda p: p[0])).alias("x_max"))
 
 
+@query("polygon_rings", RINGS_SQL)
+def polygon_rings(i):
+    return ring_rows(ingest.exterior_rings(i.tract_features))
+
+
+@query("polygon_file_scan", RINGS_SQL)
+def polygon_file_scan(i):
+    path = new_path(i.spark, "tracts")
+    sinks.write_documents(i.tract_lines(), path)
+    return ring_rows(ingest.read_polygons(i.spark, path, ("GEOID",)))
+
+
 @query("forecast_daily_mean", sql(out("SELECT date, lat, lon, geoscf_pm25 FROM forecast_daily", "lat lon geoscf_pm25"), "forecast_daily"))
 def forecast_daily_mean(i):
     return ingest.forecast_daily(i.hourly_forecast)
@@ -151,6 +178,27 @@ def frame_key_check(i):
     return sinks.key_differences(p.filter("target IS NOT NULL"), p, ["sensor_id", "date"])
 
 
+@query("frame_reload", sql("""
+SELECT 'as written' AS step, COUNT(*) AS n, 0::BIGINT AS only_left, 0::BIGINT AS only_right FROM panel
+UNION ALL SELECT 'repeated row', COUNT(*), 1, 0 FROM panel UNION ALL SELECT 'lost day', COUNT(*), 0, COUNT(*) FILTER (date = (SELECT MIN(date) FROM panel)) FROM panel""", "panel"))
+def frame_reload(i):
+    """Write the panel with its manifest and reload it, as it is, with one row planted twice, and without a day."""
+    keys, p = ["sensor_id", "date"], cut_lineage(panel(i))
+    first = p.orderBy(*keys).limit(1)
+    steps = {"as written": p, "repeated row": p.unionByName(first), "lost day": p.join(p.select(F.min("date").alias("date")), "date", "left_anti")}
+    found = []
+    for step, frame in steps.items():
+        path = new_path(i.spark, "frame")
+        sinks.write_frame(frame, path, keys=keys)
+        try:
+            sinks.reload_frame(i.spark, path, p, keys)
+            found.append((step, 0, 0))
+        except sinks.FrameMismatch as e:
+            found.append((step, e.differences["only_left"], e.differences["only_right"]))
+    report = i.spark.createDataFrame(found, "step string, only_left long, only_right long")
+    return report.select("step", F.lit(p.count()).cast("long").alias("n"), "only_left", "only_right")
+
+
 @query("humidity_correction", sql(out("""
 SELECT sensor_id, date, pm25, humidity, greatest(0.524*pm25 - 0.0862*humidity + 5.75, 0.0) + 0*humidity AS corrected, pm25 AS raw
 FROM sensor_days""", "pm25 humidity corrected raw"), "sensor_days"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Six network centres (latitude and longitude times 100).
@@ -166,6 +167,31 @@ class Inputs:
             F.when(sid % 3 == 0, F.lit("null")).otherwise((sid * 11 % 800).cast("string")), F.lit("}}"))
         return self.sensor_days.select("sensor_id").distinct().select(text.alias("value"))
 
+    def elevation_lines(self, files: int = 4) -> DataFrame:
+        """(file, part, line): the same elevations as a few nested-map JSON files, an entry on each line."""
+        sid = F.col("sensor_id")
+        file = F.pmod(F.xxhash64("sensor_id"), F.lit(files)).alias("file")
+        value = F.when(sid % 14 == 0, F.lit('"bad, {"')).when(sid % 2 == 1, F.lit("null")).otherwise(F.concat(F.lit('"'), (sid * 7) % 900, F.lit('.5"')))
+        tract = F.when(sid % 3 == 0, F.lit("null")).otherwise((sid * 11 % 800).cast("string"))
+        ids = self.sensor_days.select("sensor_id").distinct()
+        entries = ids.select(file, F.explode(F.array(
+            F.struct(F.lit(1).alias("part"), F.concat(F.lit(',"'), sid, F.lit('": '), value).alias("line")),
+            F.struct(F.lit(3).alias("part"), F.concat(F.lit(',"'), F.lpad(sid.cast("string"), 11, "0"), F.lit('": '), tract).alias("line")))).alias("e")).select("file", "e.*")
+        frame = [(0, '{"sensors": {"": null'), (2, '}, "tracts": {"": null'), (4, "}}")]
+        edges = entries.select("file").distinct().select("file", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(t).alias("line")) for p, t in frame])).alias("e"))
+        return entries.unionByName(edges.select("file", "e.*"))
+
+    def tract_lines(self, files: int = 4) -> DataFrame:
+        """(file, part, line): the tract polygons as a few GeoJSON feature collections."""
+        file = F.pmod(F.xxhash64("GEOID"), F.lit(files))
+        first = F.row_number().over(W.partitionBy("file").orderBy("GEOID")) == 1
+        whole = F.concat(F.lit('{"properties": {"GEOID": "'), F.col("GEOID"), F.lit('", "note": "a } in \\\" text, ["}, '), F.expr("substr(value, 2)"))
+        entries = self.tract_features.withColumn("file", file).select(
+            "file", F.when(first, 1).otherwise(2).alias("part"), F.when(first, whole).otherwise(F.concat(F.lit(","), whole)).alias("line"))
+        frame = [(0, '{"type": "FeatureCollection", "crs": {"properties": {"name": "x"}}, "features": ['), (3, "]}")]
+        edges = entries.select("file").distinct().select("file", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(t).alias("line")) for p, t in frame])).alias("e"))
+        return entries.unionByName(edges.select("file", "e.*"))
+
     @cached_property
     def tract_features(self) -> DataFrame:
         """GeoJSON feature text per tract: a polygon, or a two-part multipolygon."""

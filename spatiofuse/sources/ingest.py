@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from spatiofuse import constants as C
 from spatiofuse.functions import scalar as S
 from spatiofuse.functions.ordering import first_per_key
+from spatiofuse.sources import json_files
 
 FEED_SCHEMA = (
     "`State Code` string, `County Code` string, `Site Num` string, `Parameter Code` int, POC int, "
@@ -91,7 +92,13 @@ def elevation_maps(documents: DataFrame, column: str = "value") -> tuple[DataFra
 
 
 def read_elevations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return elevation_maps(spark.read.text(path, wholetext=True))
+    """The same two tables from files of one document each, however large: an entry is a row."""
+    entries = json_files.map_entries(spark, path)
+    entries = entries.select("section", "key", F.btrim("value", F.lit('"')).try_cast("double").alias("elevation")).filter("elevation IS NOT NULL")
+    sensors = entries.filter("section = 'sensors'").select(F.col("key").try_cast("double").cast("long").alias("sensor_id"), "elevation").dropna()
+    tracts = entries.filter("section = 'tracts'").select(F.col("key").alias("GEOID"), "elevation")
+    return (sensors.groupBy("sensor_id").agg(F.max("elevation").alias("elevation")),
+            tracts.groupBy("GEOID").agg(F.max("elevation").alias("elevation")))
 
 
 def exterior_rings(features: DataFrame, column: str = "value") -> DataFrame:
@@ -107,11 +114,11 @@ def exterior_rings(features: DataFrame, column: str = "value") -> DataFrame:
             .select(*rest, "part", F.col("rings")[0].alias("ring")))
 
 
-def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Exterior rings of a GeoJSON feature collection file."""
-    text = spark.read.text(path, wholetext=True)
-    features = text.select(F.explode(F.from_json("value", "features array<string>")["features"]).alias("value"))
-    return exterior_rings(features)
+def read_polygons(spark: SparkSession, path: str, properties: tuple[str, ...] = ()) -> DataFrame:
+    """Exterior rings of GeoJSON feature collection files, with the named properties; a feature is a row."""
+    features = json_files.array_objects(spark, path, "features")
+    named = [F.get_json_object("value", f"$.properties.{p}").alias(p) for p in properties]
+    return exterior_rings(features.select(*named, "value"))
 
 
 # Regulatory feed ---------------------------------------------------------
