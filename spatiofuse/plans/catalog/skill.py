@@ -354,7 +354,7 @@ def fused_prediction(i):
 @query("feature_set_ablation")
 def feature_set_ablation(i):
     frame, names, overrides = learning_frame(i)
-    return validate.ablation(frame, names, ["no_neighbor", "no_external", "plus_demographics"], overrides, demographics=C.DEMOGRAPHIC_COLUMNS)
+    return validate.ablation(frame, names, ["no_neighbor", "no_external", "plus_demographics"], overrides, ["huber"], C.DEMOGRAPHIC_COLUMNS)
 
 
 def deployed(i):
@@ -362,7 +362,7 @@ def deployed(i):
     src = sources(i)
     frame = cut_lineage(features.training_frame(panel(i), src))
     frame = frame.withColumns({"latitude": F.col("lat"), "longitude": F.col("lon")})
-    bundle = learners.fit_full(frame, features.feature_columns(frame))
+    bundle = learners.fit_full(frame, features.feature_columns(frame), ["forest", "huber"])
     return src, frame, bundle
 
 
