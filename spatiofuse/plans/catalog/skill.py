@@ -310,7 +310,8 @@ def enriched_metrics(i):
 
 def learning_frame(i, n: int = C.SENSOR_FOLDS):
     """Training frame with sensor folds, its model inputs, and the neighbour columns recomputed without each fold."""
-    df = features.training_frame(panel(i), sources(i), keep_demographics=True)
+    src = sources(i)
+    df = features.with_tract_columns(features.training_frame(panel(i), src), src.tracts, C.DEMOGRAPHIC_COLUMNS)  # for the ablation
     df = cut_lineage(with_sensor_folds(df.withColumns({"latitude": F.col("lat"), "longitude": F.col("lon")}), n))
     return df, features.feature_columns(df), cut_lineage(neighbors.neighbor_features_per_fold(df))
 
