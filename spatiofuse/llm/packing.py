@@ -37,6 +37,8 @@ from spatiofuse.llm.staging import staged
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY, END_ID = 4096, 1
+#: ASCII marks that the tokenizer parts from letters, whatever stands beside them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words kept in a worker's cache; beyond, it starts anew.
 CACHED_WORDS = 400_000
 #: Ranks of one length are counted apart in so many salts.
@@ -49,8 +51,10 @@ class WordIds(dict):
     """Word to its ids as little-endian 32-bit bytes; equal to encoding the text whole.
 
     Valid for tokenizers that drop white space: no token reaches over a blank.
-    Runs of Latin-1 letters, closed by ``.`` or ``,`` or not, skip the normaliser,
-    for which they are lower-cased alone; anything else goes through ``encode``.
+    Runs of Latin-1 letters skip the normaliser, for which they are lower-cased
+    alone, and ASCII marks on either side of them are runs of their own, so that
+    a word shares its ids with its other cases and marks. Anything else, and all
+    words with an apostrophe or an added token, go through ``encode``.
     """
 
     def __init__(self, path: str):
@@ -59,6 +63,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.letters = [chr(b) if b in printable else chr(next(rest)) for b in range(256)]  # byte-level alphabet
@@ -66,12 +71,16 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
-        if word[-1:] in (".", ",") and len(word) > 1 and word[:-1].isalpha() and word.isascii():
-            made = self[word[:-1]] + self[word[-1]]
-        elif word.isalpha() and max(word) < "Ā":
-            low = word.lower()
-            low = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
-            made = np.array([t.id for t in self.merge(low)], "<u4").tobytes()
+        core = word.strip(MARKS)
+        if core.isalpha() and max(core) < "Ā" and (len(core) == len(word) or not any(x in word for x in self.added)):
+            low = core.lower()
+            if low != word:
+                left, right = word[:word.index(core)], word[len(word.rstrip(MARKS)):]
+                made = (self[left] if left else b"") + self[low] + (self[right] if right else b"")
+            else:
+                if not low.isascii():
+                    low = "".join([self.letters[b] for b in low.encode()])
+                made = np.array([t.id for t in self.merge(low)], "<u4").tobytes()
         else:
             made = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = made

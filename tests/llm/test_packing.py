@@ -95,7 +95,8 @@ def test_fixture(spark, folder):
     assert n == -(-sum(r["length"] for r in rows) // 4096)  # the bound is met
 
 
-ODD = ["<|endoftext|> x <|startoftext|>y", "don't I'LL we've", "ÉTÉ été Straße ŒUVRE İstanbul ΣΑΣ", "é composed", "a b c\u0085d\x1ce\tf\vg", "...,, x., 12,000. ª º µ ÿ", "日本語 текст 🙂 a🙂b", "\n\n  \n", " ́x", "a,b.c", "x" * 3000, ","]
+ODD = ["<|endoftext|> x <|startoftext|>y", "don't I'LL we've", "ÉTÉ été Straße ŒUVRE İstanbul ΣΑΣ", "é composed", "a b c\u0085d\x1ce\tf\vg", "...,, x., 12,000. ª º µ ÿ", "日本語 текст 🙂 a🙂b", "\n\n  \n", " ́x", "a,b.c", "x" * 3000, ",",
+       "<|endoftext|>. foo<|endoftext|>. <|x|> (word)—x ##word## ##Word a.b... ÀÉ, x'%% '%x %%'s %S' -É- (été)!? @ \\a\\ |b|"]
 
 
 def test_edges(spark, make_docs):
