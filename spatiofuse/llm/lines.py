@@ -28,6 +28,9 @@ them and its key can be split. Work in a row is in proportion to the document.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,18 +50,22 @@ def units(text: Column) -> Column:
     for end, same in _ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(same + _MARK))
     marked = F.regexp_replace(marked, f"{_MARK}(?=[\\s{_MARK}]*$|\\s*{_MARK})", "")  # no piece of blanks alone
-    marked = F.regexp_replace(marked, f"^(\\s*){_MARK}", "$1")
+    blank_start = F.substring(text, 1, 1).isin([" ", "\t", "\n", "\x0b", "\f", "\r"])
+    marked = F.when(blank_start, F.regexp_replace(marked, f"^(\\s*){_MARK}", "$1")).otherwise(marked)
     plain = F.split(marked, _MARK)
     # a text that holds the mark itself is cut by the slower equal rule
     exact = F.split(text, "(?<=\\n)(?=[\\s]*[^\\s])|(?<=[.!?]\\x20)(?=[\\s]*[^\\s])")
     return F.when(F.instr(text, _MARK) > 0, exact).otherwise(plain)
 
 
-def _unit_words(unit: Column) -> Column:
-    """Words of a unit: single spaces and one, unless it holds other blanks."""
-    inner = trimmed(unit)
+#: What makes words of a unit uncountable by its spaces.
+_ODD_BLANKS = ("  ", "\t", "\x0b", "\x0c", "\r")
+
+
+def _unit_words(inner: Column, even: Column) -> Column:
+    """Words of a trimmed unit: its spaces and one where the text's blanks are ``even``, else by splitting."""
     spaces = F.octet_length(inner) - F.octet_length(F.replace(inner, F.lit(" "), F.lit("")))
-    return F.when(inner.rlike("[\\x09-\\x0D]|\\x20\\x20"), F.size(F.split(inner, BLANK_RUN))).otherwise(spaces + 1)
+    return F.when(even, spaces + 1).otherwise(F.size(F.split(inner, BLANK_RUN)))
 
 
 def _get(name: str, i) -> Column:
@@ -67,13 +74,13 @@ def _get(name: str, i) -> Column:
 
 def fingerprinted(keyed: DataFrame, run_words: int, gram_words: int) -> DataFrame:
     """From (_w_id, _w_key, _w_text): unit hashes ``H``, gram ends and the selected (hash, unit, end) of every document."""
-    df = keyed.withColumn("_w_units", F.filter(units(F.col("_w_text")), has_word)).drop("_w_text")
-    df = df.withColumns({"H": F.transform("_w_units", lambda u: F.xxhash64(F.lower(trimmed(u)))),
-                         "N": F.transform("_w_units", _unit_words)}).drop("_w_units")
-    # of every word its unit, and of every unit its first word
-    df = df.withColumn("A", F.flatten(F.transform("N", lambda n, k: F.array_repeat(k, n)))).drop("N")
-    starts = F.filter(each(F.size("A")), lambda c: (c == 0) | (_get("A", c) != _get("A", c - 1)))
-    df = df.withColumn("S", F.concat(starts, F.array(F.size("A"))))
+    df = keyed.withColumns({"_w_units": F.filter(F.transform(units(F.col("_w_text")), trimmed), lambda u: u != ""), "_w_even": ~reduce(or_, [F.contains("_w_text", F.lit(x)) for x in _ODD_BLANKS])}).drop("_w_text")
+    df = df.withColumns({"H": F.transform("_w_units", lambda u: F.xxhash64(F.lower(u))),
+                         "N": F.transform("_w_units", lambda u: _unit_words(u, F.col("_w_even")))}).drop("_w_units", "_w_even")
+    # of every word its unit and whether it begins one, and of every unit its first word
+    df = df.withColumns({"A": F.flatten(F.transform("N", lambda n, k: F.array_repeat(k, n))),
+                         "B": F.flatten(F.transform("N", lambda n: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), n - 1))))}).drop("N")
+    df = df.withColumn("S", F.concat(F.filter(each(F.size("B")), lambda c: _get("B", c)), F.array(F.size("B")))).drop("B")
     fits = F.col("S")  # units whose gram fits
     ends = F.transform(F.filter(fits, lambda s: s + gram_words <= F.size("A")), lambda s: _get("A", s + (gram_words - 1)))
     df = df.withColumn("E", ends)
@@ -99,7 +106,7 @@ def _part(array: Column, start: Column, length: Column) -> Column:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """(_w_key, gone): for each document with later repeats, the unit positions to delete."""
+    """(_w_key, n, gone): for each document with a word its number of units, and the unit positions to delete (null: none)."""
     keyed = docs.select(F.col(id_col).alias("_w_id"), content_key(F.col(id_col), F.col(text)).alias("_w_key"), F.col(text).alias("_w_text"))
     marked = staged(fingerprinted(keyed.filter(has_word(F.col("_w_text"))), run_words, gram_words), "line-fingerprints")
 
@@ -136,19 +143,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
     start = F.col("p") - F.col("left")
     start = F.when(own, F.greatest(start, F.col("f_p") + F.col("e") - F.col("p") + 1)).otherwise(start)
     spans = spans.withColumns({"start": start, "stop": F.col("e") + F.col("right")}).filter("start <= stop")
-    return spans.groupBy("_w_key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "stop")))).alias("gone"))
+    gone = spans.groupBy("_w_key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "stop")))).alias("gone"))
+    return hashes.select("_w_key", F.size("H").alias("n")).join(gone, "_w_key", "left")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """``docs`` with later repeated runs cut from ``text``, and ``_w_units``, ``_w_gone``: units before, units deleted."""
     gone = staged(repeats(docs, id_col, text, run_words, gram_words), "line-gone")
-    gone = gone.select(F.col("_w_key").alias("_w_gone_key"), F.col("gone").alias("_w_list"))
+    gone = gone.select(F.col("_w_key").alias("_w_gone_key"), F.col("n").alias("_w_n"), F.col("gone").alias("_w_list"))
     joined = docs.withColumn("_w_key", content_key(F.col(id_col), F.col(text))).join(gone, F.col("_w_key") == F.col("_w_gone_key"), "left")
-    joined = joined.withColumn("_w_parts", units(F.col(text)))
+    joined = joined.withColumn("_w_parts", F.when(F.col("_w_list").isNotNull(), units(F.col(text))))  # few texts are cut again
     left = F.array_except(each(F.size("_w_parts")), F.col("_w_list"))
     cut = F.array_join(F.transform(left, lambda i: _get("_w_parts", i)), "")
-    blank = F.col(text).isNull() | ~has_word(F.col(text))
     return (joined.withColumns({text: F.when(F.col("_w_list").isNull(), F.col(text)).otherwise(cut),
-                                "_w_units": F.when(blank, F.lit(0)).otherwise(F.size("_w_parts")),
+                                "_w_units": F.coalesce("_w_n", F.lit(0)),
                                 "_w_gone": F.coalesce(F.size("_w_list"), F.lit(0))})
-            .drop("_w_key", "_w_gone_key", "_w_list", "_w_parts"))
+            .drop("_w_key", "_w_gone_key", "_w_n", "_w_list", "_w_parts"))
