@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -73,6 +74,50 @@ def test_templates_by_purity(spark):
     assert len(rows) == len(urls)
 
 
+def test_branches_without_labels_tie_nothing(spark):
+    """An unlabelled sibling stays by itself; a bad branch stays bad beside it."""
+    kinds = ("news", "tag", "blog")
+    urls = [f"http://hot.org/{kinds[i % 3]}/{i * 7 + 1}" for i in range(600)] + [f"http://hot.org/misc/{i}" for i in range(100)]
+    rows = judged(spark, urls, [(i, kinds[i % 3] != "tag") for i in range(1, 600, 2)]).collect()
+    seen = {(urls[r["id"]].split("/")[3], r["template"], r["verdict"]) for r in rows}
+    assert seen == {("tag", "/tag/#", "block"), ("news", "/{blog+1}/#", "allow"), ("blog", "/{blog+1}/#", "allow"), ("misc", "/misc/#", "allow")}
+
+
+def test_chains_of_small_steps_are_cut(spark):
+    """Branches at good shares 0, 0.1 ... 1: neighbours are alike, ends are not."""
+    urls, labels = [], []
+    for k in range(11):
+        for i in range(50):
+            labels.append((len(urls), i < 5 * k))
+            urls.append(f"http://steps.org/b{k:02d}/{i}")
+    template = {urls[r["id"]].split("/")[3]: r["template"] for r in judged(spark, urls, labels).collect()}
+    assert template == brute_clusters([(f"b{k:02d}", 5 * k, 50) for k in range(11)])
+    assert len(set(template.values())) > 2
+
+
+def brute_clusters(branches):
+    """Template of each branch by the definition: pooled counts and first member."""
+    def differ(g, n, g0, n0):
+        p = (g + g0) / (n + n0)
+        s = math.sqrt(p * (1 - p) * (1 / n + 1 / n0))
+        return s > 0 and abs(g / n - g0 / n0) >= ut.MERGE_Z * s
+    clusters = []
+    for name, g, n in sorted(branches, key=lambda x: ((x[1] + 1) / (x[2] + 2), x[0])):
+        last = clusters[-1] if clusters else None
+        if last and not differ(g, n, sum(x[1] for x in last), sum(x[2] for x in last)) and not differ(g, n, *last[0][1:]):
+            last.append((name, g, n))
+        else:
+            clusters.append([(name, g, n)])
+    return {x[0]: f"/{x[0] if len(c) == 1 else '{%s+%d}' % (min(y[0] for y in c), len(c) - 1)}/#" for c in clusters for x in c}
+
+
+def test_deep_paths_are_told_apart(spark):
+    """What differs in the seventh segment only."""
+    urls = [f"http://deep.org/a/b/c/d/e/f/{('good', 'bad')[i % 2]}/{i}" for i in range(200)]
+    rows = judged(spark, urls, [(i, i % 2 == 0) for i in range(100)]).collect()
+    assert {(urls[r["id"]].split("/")[9], r["template"], r["verdict"]) for r in rows} == {("good", "/a/b/c/d/e/f/good/#", "allow"), ("bad", "/a/b/c/d/e/f/bad/#", "block")}
+
+
 def test_edges(spark):
     assert judged(spark, [], []).count() == 0
     pages = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, "http://a.org/y"), (2, None)], T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType())]))
