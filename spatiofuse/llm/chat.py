@@ -13,8 +13,11 @@ assistant texts.
 
 Defined results: a record of unknown layout, or that is not JSON, has no turns and
 layout null; null texts are empty; null roles are the empty role; a null prompt still
-makes a turn, an empty optional ``input`` adds nothing; rows of equal turn number are
-ordered by role and text; repeated rows are turns each; other columns play no part;
+makes a turn, an empty optional ``input`` adds nothing; a conversation
+of a table of turns whose texts exceed ``RECORD_BYTES`` passes by JSON, which Spark parses
+up to a limit, and becomes turns straight from its rows, with the same result; a JSON
+record given as such that is longer than that and cannot be parsed stops the job rather
+than lose its turns; rows of equal turn number are ordered by role and text; repeated rows are turns each; other columns play no part;
 an empty table gives an empty table. A conversation is one output row, so its turns
 meet in one task; whole tables never do.
 """
@@ -39,6 +42,8 @@ LAYOUTS = {
     "task": {"paths": ("instruction", "output"), "fields": (("user", ("$.instruction",)), ("assistant", ("$.output",)))},
     "system": {"paths": ("instruction", "output", "system"), "fields": (("system", ("$.system",)), ("user", ("$.instruction",)), ("assistant", ("$.output",)))},
 }
+#: Bytes of roles and texts up to which a conversation is made a JSON record; parsing JSON is sure for 16 MiB.
+RECORD_BYTES = 4 << 20
 #: Names that layouts use for the template's roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -68,17 +73,19 @@ def fingerprint(shape: Column) -> Column:
     return F.xxhash64(shape)
 
 
+def _renamed(role: Column) -> Column:
+    out = role
+    for old, new in ROLES.items():
+        out = F.when(role == old, new).otherwise(out)
+    return out
+
+
 def turns_of(variant: Column, layout: dict) -> Column:
     if "messages" in layout:
         path, role, text = layout["messages"]
         found = F.try_variant_get(variant, path, f"array<struct<`{role}`:string,`{text}`:string>>")
-        def renamed(r):
-            out = r
-            for old, new in ROLES.items():
-                out = F.when(r == old, new).otherwise(out)
-            return out
         return F.transform(F.coalesce(found, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), lambda m: F.struct(
-            F.coalesce(renamed(m[role]), F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+            F.coalesce(_renamed(m[role]), F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
     def part(role, paths):
         values = [F.coalesce(F.try_variant_get(variant, p, "string"), F.lit("")) for p in paths]
         more = [F.when(v != "", F.concat(F.lit("\n\n"), v)).otherwise("") for v in values[1:]]
@@ -87,15 +94,24 @@ def turns_of(variant: Column, layout: dict) -> Column:
 
 
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
-    """``records`` with ``layout`` (name or null) and ``turns`` (array of role and text)."""
-    df = records.withColumn("_c_variant", F.try_parse_json(F.col(record)))
+    """``records`` with ``layout`` (name or null) and ``turns`` (array of role and text).
+
+    Where ``records_of_turns`` left a conversation as an array, too long for a record, its turns come from that.
+    """
+    parsed = F.try_parse_json(F.col(record))
+    lost = parsed.isNull() & (F.octet_length(record) > 4 * RECORD_BYTES)
+    df = records.withColumn("_c_variant", F.when(lost, F.raise_error(F.lit("a record is too long to be parsed as JSON")).cast("variant")).otherwise(parsed))
     df = df.withColumn("_c_print", fingerprint(path_shape(F.col("_c_variant"))))
     names, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
     for name, layout in LAYOUTS.items():
         hit = F.col("_c_print") == fingerprint(F.lit(shape_of(layout["paths"])))
         names = F.when(hit, name).otherwise(names)
         turns = F.when(hit, turns_of(F.col("_c_variant"), layout)).otherwise(turns)
-    return df.withColumns({"layout": names, "turns": turns}).drop("_c_variant", "_c_print")
+    if "_c_messages" in records.columns:
+        given = F.col("_c_messages").isNotNull()
+        names = F.when(given, "messages").otherwise(names)
+        turns = F.when(given, F.transform("_c_messages", lambda m: F.struct(F.coalesce(_renamed(m["role"]), F.lit("")).alias("role"), F.coalesce(m["content"], F.lit("")).alias("text")))).otherwise(turns)
+    return df.withColumns({"layout": names, "turns": turns}).drop("_c_variant", "_c_print", "_c_messages")
 
 
 def escaped(text: Column) -> Column:
@@ -146,7 +162,13 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def records_of_turns(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conversation, record): one JSON record of the ``messages`` layout for each conversation of a table of turns."""
+    """(conversation, record, _c_messages): one JSON record of the ``messages`` layout for each conversation of a table of turns.
+
+    Beyond ``RECORD_BYTES`` the record is null and ``_c_messages`` holds the (role, content) array itself; else that is null.
+    """
     message = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     messages = F.transform(F.sort_array(F.collect_list(message)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return rows.groupBy(F.col(conversation).alias(conversation)).agg(messages.alias("messages")).select(conversation, F.to_json(F.struct("messages")).alias("record"))
+    size = F.sum(F.coalesce(F.octet_length(role), F.lit(0)) + F.coalesce(F.octet_length(text), F.lit(0)) + 32)  # 32: names and marks of a turn
+    whole = rows.groupBy(F.col(conversation).alias(conversation)).agg(messages.alias("messages"), size.alias("_c_size"))
+    short = F.col("_c_size") <= RECORD_BYTES
+    return whole.select(conversation, F.when(short, F.to_json(F.struct("messages"))).alias("record"), F.when(~short, F.col("messages")).alias("_c_messages"))

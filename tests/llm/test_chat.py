@@ -3,6 +3,7 @@ import json
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from spatiofuse.llm import chat
@@ -79,3 +80,17 @@ def test_edges(spark, make_docs):
     back = {r["conv_id"]: [tuple(t) for t in r["back"]] for r in done}
     assert back == {1: [("user", "first"), ("user", ""), ("", "t")], 2: [("user", "same")] * 2, None: [("assistant", "n")], 3: [("assistant", "x" * 200_000)]}
     assert chat.records_of_turns(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_long_conversations_come_from_their_rows(spark, monkeypatch):
+    """Beyond the record size the result is the same as by JSON; a record that cannot be parsed is not lost in silence."""
+    rows = [(1, 0, "human", 'a "quoted" \\ text\n\u00e9'), (1, 1, None, "t"), (1, None, "gpt", None), (2, 0, "assistant", "<|end|>\n" * 30), (None, 3, "user", "")]
+    def run():
+        done = chat.formatted(chat.canonical(chat.records_of_turns(spark.createDataFrame(rows, TURNS))))
+        return sorted((str(r["conv_id"]), r["layout"], r["turns"], r["formatted"], r["loss_spans"]) for r in done.collect())
+    by_json = run()
+    for most in (0, 200):
+        monkeypatch.setattr(chat, "RECORD_BYTES", most)
+        assert run() == by_json
+    with pytest.raises(Exception, match="too long to be parsed"):
+        chat.canonical(spark.createDataFrame([(1, "[" * 2000)], "i int, record string")).collect()
