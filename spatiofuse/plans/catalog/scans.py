@@ -10,7 +10,7 @@ from spatiofuse.functions.ordering import first_per_key, sampled, capped_per_key
 from spatiofuse.operators.grid import grid_over, calendar_planes
 from spatiofuse.operators.metrics import residual_columns
 from spatiofuse.plans.catalog.base import folded, panel, query, reference_daily
-from spatiofuse.plans.catalog.sqltext import hav, out, sql
+from spatiofuse.plans.catalog.sqltext import SITE_ID, hav, out, sql
 from spatiofuse.plans.features import feature_columns
 from spatiofuse.session import cut_lineage, new_path
 from spatiofuse.sources import ingest, sinks
@@ -273,8 +273,8 @@ def numeric_coercion(i):
             .select("sensor_id", "date", "hms_smoke"))
 
 
-@query("regulatory_quality_filter", sql("""
-SELECT '48' || lpad(county_code, 3, '0') || lpad(site_num, 4, '0') AS site_id, duration, coalesce(event_type, 'missing') AS event_type,
+@query("regulatory_quality_filter", sql(f"""
+SELECT {SITE_ID} AS site_id, duration, coalesce(event_type, 'missing') AS event_type,
        CASE duration WHEN '24-HR BLK AVG' THEN 0 WHEN '1 HOUR' THEN 1 ELSE 2 END AS dur_rank, COUNT(*) AS n
 FROM reference_feed WHERE state_code = '48' AND parameter_code = 88101 AND event_type IS DISTINCT FROM 'Excluded'
   AND (duration IN ('24-HR BLK AVG', '24 HOUR') OR coalesce(percent >= 75, false)) GROUP BY 1, 2, 3, 4""", "reference_feed"))

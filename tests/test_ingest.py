@@ -3,15 +3,18 @@
 import datetime as dt
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from spatiofuse import constants as C
 from spatiofuse.functions import scalar as S
 from spatiofuse.operators.grid import Grid, calendar_planes
 from spatiofuse.plans.features import ablation_features, feature_columns
 from spatiofuse.plans.validate import export_surface
 from spatiofuse.sources import ingest, sinks
+from tests.oracle_check import difference
 
 HEADER = ("State Code,County Code,Site Num,Parameter Code,POC,Latitude,Longitude,Date Local,Sample Duration,"
           "Arithmetic Mean,Event Type,Observation Percent\n")
@@ -105,3 +108,15 @@ def test_surface_export(spark, tmp_path):
 def test_metrics_json_holds_every_metric(spark):
     flat = spark.createDataFrame([("s", f"m{i:03d}", float(i)) for i in range(400)], "section string, metric string, value double")
     assert len(json.loads(sinks.metrics_json(flat).first().json)) == 400 and sinks.summary_rows(flat).count() == 400
+
+
+@pytest.mark.parametrize("name", ["regulatory_daily", "regulatory_quality_filter", "second_tier_merge", "site_sensor_distance"])
+def test_long_site_numbers_match_sql(spark, folder, tmp_path, name):
+    """Site numbers of over four digits stay whole in the SQL too; 1044 and 10442 share a county and four digits."""
+    key = F.when(F.col("l_suppkey") % 3 == 0, 1044).when(F.col("l_suppkey") % 3 == 1, 10442).otherwise(F.col("l_suppkey") + 10_000)
+    spark.read.parquet(f"{folder}/lineitem.parquet").withColumn("l_suppkey", key.cast("long")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    (tmp_path / "events.parquet").symlink_to(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert difference(entry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(entry.oracle_sql()[name]).df()) is None
