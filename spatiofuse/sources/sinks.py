@@ -111,6 +111,10 @@ def with_second_tier(rows: DataFrame, second: DataFrame, keys: list[str], column
 
 
 def write_documents(rows: DataFrame, path: str) -> None:
-    """Text files, one for each ``file`` of (file, part, line), with its lines in the order of part and text."""
-    (rows.repartition("file").sortWithinPartitions("file", "part", "line").select("file", "line")
+    """Text files, one for each ``file`` of (file, part, line), with its lines in the order of part and text.
+
+    Rows are dealt by a hash of ``file``: a repartition by the column itself is planned away above a union
+    whose parts are dealt by it, and those parts are then coalesced apart, which cuts a file in two.
+    """
+    (rows.repartition(F.xxhash64("file")).sortWithinPartitions("file", "part", "line").select("file", "line")
      .write.mode("overwrite").partitionBy("file").text(path))

@@ -14,6 +14,7 @@ from spatiofuse.operators.grid import Grid, calendar_planes
 from spatiofuse.plans.features import ablation_features, feature_columns
 from spatiofuse.plans.validate import export_surface
 from spatiofuse.sources import ingest, sinks
+from spatiofuse.sources.derived import Inputs
 from tests.oracle_check import difference
 
 HEADER = ("State Code,County Code,Site Num,Parameter Code,POC,Latitude,Longitude,Date Local,Sample Duration,"
@@ -110,6 +111,14 @@ def test_metrics_json_holds_every_metric(spark):
     assert len(json.loads(sinks.metrics_json(flat).first().json)) == 400 and sinks.summary_rows(flat).count() == 400
 
 
+def test_documents_are_one_file_each(spark, tmp_path):
+    """Parts of a union that are dealt by the file already still meet in one file."""
+    i = Inputs(spark, "/root/testdata/sf0.1")
+    for name, lines in (("tracts", i.tract_lines()), ("elevations", i.elevation_lines())):
+        sinks.write_documents(lines, str(tmp_path / name))
+        assert sorted(len(list(f.glob("*.txt"))) for f in (tmp_path / name).glob("file=*")) == [1, 1, 1, 1]
+
+
 @pytest.mark.parametrize("name", ["regulatory_daily", "regulatory_quality_filter", "second_tier_merge", "site_sensor_distance"])
 def test_long_site_numbers_match_sql(spark, folder, tmp_path, name):
     """Site numbers of over four digits stay whole in the SQL too; 1044 and 10442 share a county and four digits."""
