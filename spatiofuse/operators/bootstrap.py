@@ -1,7 +1,9 @@
-"""Percentile bootstrap confidence intervals by Poisson weights of clusters.
+"""Percentile bootstrap confidence intervals by resampling cluster totals.
 
-A draw gives every cluster a Poisson(1) weight, the limit of how often one of many
-clusters is picked with replacement. The weight comes from a hash of (draw, cluster)
+A draw picks as many clusters as there are, with replacement, by a hash of (draw, slot).
+
+With ``poisson`` a draw gives every cluster a Poisson(1) weight instead, the limit of how
+often one of many clusters is picked. The weight comes from a hash of (draw, cluster)
 that is pairwise independent, so a draw needs no list of picks and no join: each task
 adds weight x totals of its clusters into one array of draws, and the arrays are summed.
 """
@@ -18,7 +20,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatiofuse.functions.ordering import hash_int, shuffle_key
+from spatiofuse.functions.ordering import hash_int, shuffle_key, whole_rank
+from spatiofuse.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,6 +30,8 @@ PRIME = 2**31 - 1
 STEPS = [math.floor(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(10)]
 #: Clusters weighed at a time.
 _CHUNK = 2048
+#: Draws that one row stands for while the picks are dealt to tasks.
+_DRAWS = 50
 
 
 def draw_constants(n_boot: int, seed) -> np.ndarray:
@@ -42,7 +47,7 @@ def weights(keys: np.ndarray, constants: np.ndarray) -> np.ndarray:
 
 
 def _clusters(df: DataFrame, cluster: str | None, row_key: list[str], totals: dict[str, Column], seed) -> DataFrame:
-    """One row of totals per cluster and its ``key`` below ``PRIME``.
+    """One row of totals per cluster, its ``slot`` (1..C in seeded order) and its ``key`` below ``PRIME``.
 
     With no cluster column, or a single cluster, rows are their own clusters.
     """
@@ -53,11 +58,27 @@ def _clusters(df: DataFrame, cluster: str | None, row_key: list[str], totals: di
         distinct = df.select(F.count_distinct(cluster)).scalar()
         label = F.when(distinct < 2, row).otherwise(F.col(cluster).cast("string"))
     stats = df.groupBy(label.alias("_cluster")).agg(*[e.alias(k) for k, e in totals.items()])
-    return stats.withColumn("key", hash_int(shuffle_key(f"{seed}:cluster", "_cluster")) % PRIME).drop("_cluster")
+    ranked = whole_rank(stats.withColumn("_key", shuffle_key(f"{seed}:cluster", "_cluster")), "_key", "slot")
+    return cut_lineage(ranked.withColumn("key", hash_int(F.col("_key")) % PRIME).drop("_key", "_cluster"))
+
 
+def _resampled(clusters: DataFrame, names: list[str], n_boot: int, seed, poisson: bool) -> DataFrame:
+    """(b, totals) of each draw: C clusters picked with replacement by hash, or Poisson weights.
 
-def _resampled(clusters: DataFrame, names: list[str], n_boot: int, seed) -> DataFrame:
-    """(b, totals) of each draw: one pass over the clusters, ``n_boot`` rows out of every task."""
+    Each cluster row emits one pick per draw, so the draws are spread like the clusters.
+    """
+    if poisson:
+        return _weighed(clusters, names, n_boot, seed)
+    count = clusters.count()
+    dealt = clusters.select("slot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(_DRAWS))).alias("_first")).repartition("slot", "_first")
+    draws = dealt.select("slot", F.explode(F.sequence("_first", F.least(F.col("_first") + _DRAWS, F.lit(n_boot)) - 1)).alias("b"))
+    picks = draws.select("b", (hash_int(shuffle_key(seed, "b", "slot")) % count + 1).alias("slot"))
+    # picks of a slot are as many as draws on average, so the clusters are the small side of every task
+    return picks.join(clusters.hint("shuffle_hash"), "slot").groupBy("b").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _weighed(clusters: DataFrame, names: list[str], n_boot: int, seed) -> DataFrame:
+    """(b, totals) of each draw by Poisson weights: one pass over the clusters, ``n_boot`` rows out of every task."""
     constants = draw_constants(n_boot, seed)
 
     def run(batches):
@@ -82,13 +103,13 @@ def _interval(column: str, name: str, level: float = 0.95) -> list[Column]:
 
 
 def bootstrap_ci(df: DataFrame, y: str, pred: str, cluster: str | None = None,
-                 row_key: list[str] = ("sensor_id", "date"), n_boot: int = 1000, seed=0) -> DataFrame:
+                 row_key: list[str] = ("sensor_id", "date"), n_boot: int = 1000, seed=0, poisson: bool = False) -> DataFrame:
     """95 % intervals of R² and RMSE; draws without variance are ignored for R²."""
     ok = df.filter(F.col(y).isNotNull() & F.col(pred).isNotNull())
     mean = ok.select(F.avg(y)).scalar()
     t, e = F.col(y) - mean, F.col(pred) - F.col(y)
     totals = {"n": F.count(F.lit(1)), "sy": F.sum(t), "sy2": F.sum(t * t), "se2": F.sum(e * e)}
-    draws = _resampled(_clusters(ok, cluster, list(row_key), totals, seed), list(totals), n_boot, seed)
+    draws = _resampled(_clusters(ok, cluster, list(row_key), totals, seed), list(totals), n_boot, seed, poisson)
     ss_tot = F.col("sy2") - F.col("sy") * F.col("sy") / F.col("n")
     draws = draws.select(F.when(ss_tot > 0, F.lit(1.0) - F.col("se2") / ss_tot).alias("r2"),
                          F.when(F.col("n") > 0, F.sqrt(F.col("se2") / F.col("n"))).alias("rmse"))
@@ -96,14 +117,14 @@ def bootstrap_ci(df: DataFrame, y: str, pred: str, cluster: str | None = None,
 
 
 def paired_delta_r2(df: DataFrame, y: str, ref: str, alt: str, cluster: str = "sensor_id",
-                    row_key: list[str] = ("sensor_id", "date"), n_boot: int = 1000, seed=0) -> DataFrame:
+                    row_key: list[str] = ("sensor_id", "date"), n_boot: int = 1000, seed=0, poisson: bool = False) -> DataFrame:
     """R²(alt) − R²(ref) on shared rows with its cluster-bootstrap interval."""
     ok = df.filter(F.col(y).isNotNull() & F.col(ref).isNotNull() & F.col(alt).isNotNull())
     mean = ok.select(F.avg(y)).scalar()
     t, er, ea = F.col(y) - mean, F.col(ref) - F.col(y), F.col(alt) - F.col(y)
     totals = {"n": F.count(F.lit(1)), "sy": F.sum(t), "sy2": F.sum(t * t), "sr2": F.sum(er * er), "sa2": F.sum(ea * ea)}
     clusters = _clusters(ok, cluster, list(row_key), totals, seed)
-    draws = _resampled(clusters, list(totals), n_boot, seed)
+    draws = _resampled(clusters, list(totals), n_boot, seed, poisson)
 
     def delta(sy, sy2, n, sr2, sa2):
         ss_tot = sy2 - sy * sy / n

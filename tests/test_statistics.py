@@ -1,6 +1,7 @@
 """Quantiles, metrics, folds, blending, conformal and kriging: properties and edge cases."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -218,6 +219,17 @@ def test_poisson_weights_resample_like_picks(spark):
     assert got.n_boot == 1000
 
 
+def test_draws_pick_as_many_clusters_as_there_are(spark):
+    """Every draw holds exactly C picks of whole clusters; Poisson weights hold about as many."""
+    clusters = spark.range(1, 38).select(F.col("id").alias("slot"), (F.col("id") * 7919).alias("key"), F.lit(1.0).alias("one"), F.col("id").cast("double").alias("at"))
+    picked = bootstrap._resampled(clusters, ["one", "at"], 120, 3, poisson=False).toPandas()
+    assert sorted(picked.b) == list(range(120)) and (picked.one == 37).all()
+    for b in (0, 49, 50, 119):
+        want = sum(int(hashlib.md5(f"3:{b}:{s}".encode()).hexdigest()[:8], 16) % 37 + 1 for s in range(1, 38))
+        assert picked[picked.b == b]["at"].item() == want
+    assert not (bootstrap._resampled(clusters, ["one"], 120, 3, poisson=True).toPandas().one == 37).all()
+
+
 def test_local_kriging_against_brute_force(spark):
     """Every training row can serve; held-out folds never do; few neighbours fall back to inverse distances."""
     rng = np.random.default_rng(4)
