@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark import cloudpickle
 
 import corpus_pipeline as pipeline
-from spatiofuse.llm import jaccard
+from spatiofuse.llm import jaccard, simhash
 from spatiofuse.llm.staging import staged
 from tests.llm import test_lines, test_packing, test_quality
 from tests.llm.conftest import table
@@ -95,6 +95,19 @@ def test_near_copies_leave_no_stubs(spark, make_docs):
     assert sum(i >= 1_000 for i in left) <= 4, left.keys()
 
 
+def test_near_dedup_proposes_by_simhash(spark, make_docs, monkeypatch):
+    """Without a shared MinHash key, texts of the same SimHash group still meet, and the sets decide."""
+    monkeypatch.setattr(jaccard, "band_keys", lambda values: values[:1].astype("int64").tolist())
+    words = [f"w{i}" for i in range(2_000)]
+    rows = [(3, " ".join(words), "s"), (7, " ".join(["q798", *words]), "s"), (5, " ".join(["y", *words[::-1]]), "s"),
+            (8, "again " * 600 + " ".join(words[:90]), "s"), (9, "again " * 600 + " ".join(words[100:190]), "s")]
+    lowest = [int(jaccard.shingle_set(t, pipeline.SHINGLE)[0]) for _, t, _ in rows]
+    bits = [int.from_bytes(simhash.fingerprint(t)) for _, t, _ in rows]
+    assert (bits[0] ^ bits[1]).bit_count() <= 3 and (bits[3] ^ bits[4]).bit_count() <= 3
+    left = pipeline.near_dedup(spark, make_docs(rows), "unused")
+    assert lowest[0] != lowest[1] and sorted(r["doc_id"] for r in left.collect()) == [3, 5, 8, 9]
+
+
 def test_shingles_need_no_package_on_the_worker(tmp_path):
     """Functions of the stage travel by value."""
     (tmp_path / "f").write_bytes(cloudpickle.dumps(jaccard.shingle_set))
