@@ -156,3 +156,23 @@ def test_own_reading_is_left_out_wherever_it_lies(spark):
     assert got["9"].nbr_count_100km == 0 and abs(got["9"].nbr_pm25_50km - 80.0 / 3) < 1e-9
     compat = {r.sensor_id: r for r in N.with_neighbor_features(query, pool, "target", strict=False).collect()}
     assert abs(compat["9"].nbr_pm25_50km - (80.0 - 100.0) / 2) < 1e-9
+
+
+def test_places_are_compared_once_for_all_days():
+    """Sums of one group by matrix products, on days and keys that some places lack, against pairs; its own place never counts."""
+    rng = np.random.default_rng(5)
+    places = np.column_stack([rng.uniform(29, 30.5, 40), rng.uniform(-97, -95.5, 40)])
+    unit = lambda a: np.column_stack([np.cos(np.radians(a[:, 0])) * np.cos(np.radians(a[:, 1])), np.cos(np.radians(a[:, 0])) * np.sin(np.radians(a[:, 1])), np.sin(np.radians(a[:, 0]))])
+    rows = [(d, *places[i], *unit(places)[i], i % 2, 1 + i % 3, v := float(rng.normal()), v * v) for i in range(40) for d in range(5) if rng.random() < 0.7]
+    p = pd.DataFrame(rows, columns=["date", "lat", "lon", "px", "py", "pz", "fold", "n", "s1", "s2"])
+    q = p.iloc[::2][["date", "lat", "lon", "px", "py", "pz"]].set_axis(["date", "q_lat", "q_lon", "qx", "qy", "qz"], axis=1)
+    got = N._matrix_sums((25.0, 50.0, 100.0), ["fold"])[0](q, p).set_index(["date", "q_lat", "q_lon", "fold"])
+    pairs = q.merge(p, on="date")
+    pairs["c2"] = sum((pairs[f"q{a}"] - pairs[f"p{a}"]) ** 2 for a in "xyz")
+    pairs = pairs[(pairs.lat != pairs.q_lat) | (pairs.lon != pairs.q_lon)]
+    for r in (25.0, 50.0, 100.0):
+        want = pairs[pairs.c2 <= N._chord_sq(r)].groupby(["date", "q_lat", "q_lon", "fold"])[["n", "s1", "s2"]].sum()
+        mine = got[got[f"n_{r:g}"] > 0]
+        assert len(mine) == len(want) > 0
+        for part in ("n", "s1") if r != 50.0 else ("n", "s1", "s2"):
+            assert np.allclose(mine[f"{part}_{r:g}"].sort_index(), want[part].sort_index())
