@@ -77,6 +77,26 @@ def test_lists_of_places_and_what_they_leave_open(spark, monkeypatch):
     assert K.nearest(asked.limit(0), frame, 4, not_same="fold").count() == 0
 
 
+def test_tiles_of_few_places_give_whole_lists(spark, monkeypatch):
+    """Small tiles cut into parts: every probe has one list, nearest first, however far its rows lie; NULL sides and days."""
+    monkeypatch.setattr(Q, "TILE_LEAVES", 1)
+    monkeypatch.setattr(K, "TILE_PLACES", 3)
+    monkeypatch.setattr(K, "FEW_PAIRS", 0)
+    rng = np.random.default_rng(11)
+    sites = places(rng, 90)
+    days = [DAY + dt.timedelta(d) for d in range(5)]
+    pool = [{"date": d, "lat": a, "lon": b, "id": i, "side": [None, "x", "y"][i % 3]} for i, (a, b) in enumerate(sites) for d in days if rng.random() < (0.05 if d == DAY else 0.7)]
+    probes = [{"date": d, "lat": a, "lon": b, "side": s} for a, b in dict.fromkeys(sites) for d in days for s in (None, "y")]
+    frame = spark.createDataFrame([tuple(p.values()) for p in pool], "date date, lat double, lon double, id long, side string")
+    asked = spark.createDataFrame([tuple(p.values()) for p in probes] + [(None, 30.0, -97.0, "x")], "date date, lat double, lon double, side string")
+    for metric in ("haversine", "degree"):
+        want = brute(probes, pool, 3, metric, lambda q, p: q["date"] == p["date"], lambda q, p: q["side"] != p["side"])
+        check(K.nearest(asked, frame, 3, metric=metric, not_same="side"), want, ["date", "lat", "lon", "side"])
+    lists = K.nearest_lists(asked, frame, 3, not_same="side").collect()
+    assert len({(r["date"], r["lat"], r["lon"], r["side"]) for r in lists}) == len(lists)
+    assert all(e["distance"] == sorted(x["distance"] for x in r["_near"])[i] for r in lists for i, e in enumerate(r["_near"]))
+
+
 def test_too_many_leaves_take_the_cells(spark, monkeypatch):
     monkeypatch.setattr(Q, "MOST_LEAVES", 3)
     pool = [{"date": DAY, "lat": a, "lon": b, "id": i} for i, (a, b) in enumerate(places(np.random.default_rng(1), 80))]
