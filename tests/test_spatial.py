@@ -176,3 +176,30 @@ def test_places_are_compared_once_for_all_days():
         assert len(mine) == len(want) > 0
         for part in ("n", "s1") if r != 50.0 else ("n", "s1", "s2"):
             assert np.allclose(mine[f"{part}_{r:g}"].sort_index(), want[part].sort_index())
+
+
+@pytest.mark.parametrize("extra", [[], ["fold"]])
+def test_blocks_within_a_circle_are_not_compared_place_by_place(extra):
+    """Four times the places on the same land: the sums are those of all pairs, the pairs compared grow less than sixteenfold."""
+    def step(n):
+        rng = np.random.default_rng(n)
+        places = pd.DataFrame({"lat": 30 + rng.uniform(-0.9, 0.9, n), "lon": -95 + rng.uniform(-0.9, 0.9, n)})
+        la, lo = np.radians(places["lat"]), np.radians(places["lon"])
+        p = places.assign(date=dt.date(2024, 1, 1), px=np.cos(la) * np.cos(lo), py=np.cos(la) * np.sin(lo), pz=np.sin(la),
+                          fold=np.arange(n) % 2, n=1, s1=rng.normal(size=n), s2=1.0)
+        q = p.rename(columns={"lat": "q_lat", "lon": "q_lon", "px": "qx", "py": "qy", "pz": "qz"})[["date", "q_lat", "q_lon", "qx", "qy", "qz"]]
+        got = N._matrix_sums((25.0, 50.0, 100.0), extra)[0](q, p)
+        d = hav(q["q_lat"].to_numpy()[:, None], q["q_lon"].to_numpy()[:, None], p["lat"].to_numpy(), p["lon"].to_numpy())
+        for fold, part in (got.groupby("fold") if extra else [(None, got)]):
+            pool = p["fold"].to_numpy() == fold if extra else np.ones(n, bool)
+            for r in (25, 50, 100):
+                near = (d <= r) & (d > 0) & pool
+                want = pd.DataFrame({"q_lat": q["q_lat"], "q_lon": q["q_lon"], "c": near.sum(1), "s": near @ p["s1"].to_numpy()})
+                both = part.merge(want, on=["q_lat", "q_lon"])
+                assert len(both) == len(part) and (both[f"n_{r}"] == both["c"]).all()
+                assert np.allclose(both[f"s1_{r}"], both["s"], atol=1e-9)
+        assert len(got) == n * (2 if extra else 1)
+        asked, pool = (N.Blocks(places.to_numpy(), p[["px", "py", "pz"]].to_numpy()) for _ in range(2))
+        return sum(np.isin(pool.block, np.flatnonzero(pool.met(asked, i, N._chord_sq(50.0) ** 0.5)[1])).sum() * N._BLOCK for i in range(len(asked.starts)))
+
+    assert step(4000) < 11 * step(1000)
