@@ -34,7 +34,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatiofuse.llm.staging import staged
+from spatiofuse.llm.staging import dealt, staged
 from spatiofuse.llm.words import BLANK_RUN, content_key, each, has_word, trimmed
 
 #: Production parameters: words from which a repeated run is surely found, and words of a gram.
@@ -114,7 +114,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
     seen = marked.select("_w_id", "_w_key", F.explode("F").alias("f")).select("_w_id", "_w_key", "f.h", "f.p", "f.e")
     groups = seen.select("h", place).groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = staged(groups.filter("n > 1").select("h", F.col("first._w_id").alias("f_id"), F.col("first._w_key").alias("f_key"), F.col("first.p").alias("f_p")), "line-firsts")
-    later = (seen.join(firsts, "h")
+    later = (seen.join(dealt(firsts), "h")
              .filter(~((F.col("_w_key") == F.col("f_key")) & (F.col("p") == F.col("f_p"))))
              .groupBy("_w_key").agg(F.sort_array(F.collect_set(F.struct("p", "e", "f_key", "f_p"))).alias("R")))
     later = staged(later, "line-later")
@@ -126,7 +126,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
         r["p"].alias("p"), r["e"].alias("e"), r["f_key"].alias("f_key"), r["f_p"].alias("f_p"),
         (F.coalesce(near(i - 1)["e"], F.lit(-1)) + 1).alias("lo"),
         (F.coalesce(near(i + 1)["p"], F.size("H")) - 1).alias("hi")))
-    wide = (later.join(hashes, "_w_key").select("_w_key", "H", F.explode(around).alias("r"))
+    wide = (later.join(dealt(hashes), "_w_key").select("_w_key", "H", F.explode(around).alias("r"))
             .select("_w_key", "r.*",
                     F.reverse(_part(F.col("H"), F.col("r.lo"), F.col("r.p") - F.col("r.lo"))).alias("before"),
                     _part(F.col("H"), F.col("r.e") + 1, F.col("r.hi") - F.col("r.e")).alias("after")))
@@ -134,7 +134,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
     wide = staged(wide, "line-stretches")
     first_hashes = hashes.select(F.col("_w_key").alias("f_key"), F.col("H").alias("f_H"))
     f_e = F.col("f_p") + F.col("e") - F.col("p")
-    grown = wide.filter(open_ended).join(first_hashes, "f_key").withColumns({
+    grown = wide.filter(open_ended).join(dealt(first_hashes), "f_key").withColumns({
         "left": _matching(F.col("before"), F.reverse(_part(F.col("f_H"), F.col("f_p") - F.size("before"), F.least(F.size("before"), F.col("f_p"))))),
         "right": _matching(F.col("after"), _part(F.col("f_H"), f_e + 1, F.size("after")))})
     columns = ["_w_key", "f_key", "p", "e", "f_p", "left", "right"]
@@ -144,14 +144,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_wor
     start = F.when(own, F.greatest(start, F.col("f_p") + F.col("e") - F.col("p") + 1)).otherwise(start)
     spans = spans.withColumns({"start": start, "stop": F.col("e") + F.col("right")}).filter("start <= stop")
     gone = spans.groupBy("_w_key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "stop")))).alias("gone"))
-    return hashes.select("_w_key", F.size("H").alias("n")).join(gone, "_w_key", "left")
+    return hashes.select("_w_key", F.size("H").alias("n")).join(dealt(gone), "_w_key", "left")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """``docs`` with later repeated runs cut from ``text``, and ``_w_units``, ``_w_gone``: units before, units deleted."""
     gone = staged(repeats(docs, id_col, text, run_words, gram_words), "line-gone")
     gone = gone.select(F.col("_w_key").alias("_w_gone_key"), F.col("n").alias("_w_n"), F.col("gone").alias("_w_list"))
-    joined = docs.withColumn("_w_key", content_key(F.col(id_col), F.col(text))).join(gone, F.col("_w_key") == F.col("_w_gone_key"), "left")
+    joined = docs.withColumn("_w_key", content_key(F.col(id_col), F.col(text))).join(dealt(gone), F.col("_w_key") == F.col("_w_gone_key"), "left")
     joined = joined.withColumn("_w_parts", F.when(F.col("_w_list").isNotNull(), units(F.col(text))))  # few texts are cut again
     left = F.array_except(each(F.size("_w_parts")), F.col("_w_list"))
     cut = F.array_join(F.transform(left, lambda i: _get("_w_parts", i)), "")

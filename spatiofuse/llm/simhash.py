@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spatiofuse.llm.components import components
-from spatiofuse.llm.staging import staged
+from spatiofuse.llm.staging import dealt, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -147,7 +147,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): links that connect the same groups as all links among the distinct ``fp``."""
     keyed = distinct.select("fp", F.explode(_chain_keys(F.col("fp"))).alias("k")).select("fp", "k.start", "k.key")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    members = keyed.join(dealt(shared), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = members.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "start", "fp")
@@ -162,11 +162,11 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle
     roots = components(links(distinct, block)).select(F.col("a").alias("node"), F.col("b").alias("root"))
     # smallest id of each component; its root node is one of its fingerprints
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    nodes = staged(nodes.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least"), "simhash-nodes")
+    nodes = staged(nodes.join(dealt(distinct), F.col("node") == F.col("fp")).select("fp", "root", "least"), "simhash-nodes")
     smallest = nodes.groupBy("root").agg(F.min("least").alias("smallest"))
-    linked = nodes.select("fp", "root").join(smallest, "root").select("fp", "smallest")
-    known = distinct.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return prints.join(staged(known, "simhash-known"), "fp").select("id", "fp", "component_id")
+    linked = nodes.select("fp", "root").join(dealt(smallest), "root").select("fp", "smallest")
+    known = distinct.join(dealt(linked), "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    return prints.join(dealt(staged(known, "simhash-known")), "fp").select("id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -1,8 +1,9 @@
 """Tables written to the folder that all executors share, and read back.
 
 Staging cuts the lineage (a lost executor rereads files instead of repeating the
-work) and gives the planner exact sizes, so that it broadcasts a side only when
-its measured size is below ``spark.sql.autoBroadcastJoinThreshold``.
+work) and gives the planner the sizes of the files. A file's size says little of its
+rows in memory, and less after an explode, so joins of tables that grow with the
+input ask for a shuffle (``dealt``).
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that deals both sides by key, whatever size the planner takes them for: neither goes through the driver whole."""
+    return df.hint("merge")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table of its own in the shared folder and read it back."""
     spark = df.sparkSession

@@ -88,3 +88,22 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (7000, 6000), (6000, 7000)]
     root = {r["a"]: r["b"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(root[i] == 0 for i in range(1, 201)) and all(root[1000 + i] == 1000 for i in range(1, 300)) and root[7000] == 6000 and 6000 not in root
+
+
+def test_no_join_sends_a_growing_table_to_the_driver(spark, make_docs, monkeypatch):
+    """Files of a few MB hold, after an explode, rows of hundreds of MB; the planner would broadcast them."""
+    from spatiofuse.llm import components as stars
+    from spatiofuse.llm import jaccard, lines
+
+    plans = []
+
+    def seen(df, name, kept=simhash.staged):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    for module in (simhash, stars, jaccard, lines):
+        monkeypatch.setattr(module, "staged", seen)
+    docs = make_docs([(i, f"one two three four {i // 2} five six seven. ", "s") for i in range(20)])
+    ends = [simhash.grouped(docs), jaccard.grouped(docs), lines.deduplicated(docs)]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in ends]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
