@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatiofuse.llm.staging import staged
+from spatiofuse.llm.staging import dealt, staged
 from spatiofuse.llm.words import BLANK_RUN, BLANKS, content_key, each, has_word, trimmed, words
 
 #: Production parameters.
@@ -100,7 +100,7 @@ def removals(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_
 def _joined(left: DataFrame, lost: DataFrame) -> DataFrame:
     lost = lost.select(F.col("host").alias("_q_lost_host"), F.col("key").alias("_q_lost_key"), "removed_words", "removed")
     on = F.col("_q_host").eqNullSafe(F.col("_q_lost_host")) & (F.col("_q_key") == F.col("_q_lost_key"))
-    return left.join(lost, on, "left").drop("_q_lost_host", "_q_lost_key")
+    return left.join(dealt(lost), on, "left").drop("_q_lost_host", "_q_lost_key")
 
 
 def _kept() -> Column:
@@ -131,6 +131,6 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source") -> Da
     good = staged(verdict.filter("kept").select(F.col("_q_host").alias("_q_good_host"), F.col("_q_key").alias("_q_good_key"), F.col("removed").alias("_q_removed")), "quality-kept")
     on = F.col("_q_host").eqNullSafe(F.col("_q_good_host")) & (F.col("_q_key") == F.col("_q_good_key"))
     kept_lines = F.filter(F.split(F.col(text), "\n"), lambda line: ~F.coalesce(F.array_contains("_q_removed", line_hash(line)), F.lit(False)) | ~has_word(line))
-    return (keyed.join(good, on)
+    return (keyed.join(dealt(good), on)
             .withColumn(text, F.when(F.col("_q_removed").isNull(), F.col(text)).otherwise(F.array_join(kept_lines, "\n")))
             .select(*docs.columns))
