@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spatiofuse.llm.staging import staged
+from spatiofuse.llm.staging import dealt, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -270,7 +270,7 @@ def packed(table: DataFrame, order: list[str], capacity: int = CAPACITY) -> Data
     before = W.partitionBy("length").orderBy("_p_salt").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.select("length", "_p_salt", F.coalesce(F.sum("_p_n").over(before), F.lit(0)).alias("_p_base"))
     ranked = (salted.withColumn("_p_rank", F.row_number().over(W.partitionBy("length", "_p_salt").orderBy(*order)) - 1)
-              .join(bases, ["length", "_p_salt"]).withColumn("_p_rank", F.col("_p_rank") + F.col("_p_base")))
+              .join(dealt(bases), ["length", "_p_salt"]).withColumn("_p_rank", F.col("_p_rank") + F.col("_p_base")))
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
