@@ -203,3 +203,21 @@ def test_blocks_within_a_circle_are_not_compared_place_by_place(extra):
         return sum(np.isin(pool.block, np.flatnonzero(pool.met(asked, i, N._chord_sq(50.0) ** 0.5)[1])).sum() * N._BLOCK for i in range(len(asked.starts)))
 
     assert step(4000) < 11 * step(1000)
+
+
+@pytest.mark.parametrize("extra", [[], ["fold"]])
+def test_a_cell_goes_to_its_neighbours_in_few_bytes(extra):
+    """Pool rows as bytes hold a place once for all its days, come back exactly, and give the sums that the rows give."""
+    rng = np.random.default_rng(8)
+    places = np.column_stack([rng.uniform(29, 30.5, 300), rng.uniform(-97, -95.5, 300)])
+    rows = [(1, 2, 3, d, *places[i], i % 3, n, v, v * v if n == 1 else v * v + 1) for i in range(300) for d in range(20)
+            if rng.random() < 0.9 and (n := 1 + (rng.random() < 0.05)) and (v := float(rng.normal()))]
+    p = pd.DataFrame(rows, columns=["span", "pi", "pj", "date", "lat", "lon", "fold", "n", "s1", "s2"]).sample(frac=1, random_state=1)
+    cells = N._packed(extra)((1, 2, 3), p)
+    assert len(cells) == (3 if extra else 1) and cells["blob"].map(len).sum() < 24 * len(p)
+    back = pd.concat([pd.DataFrame(spots[at], columns=["lat", "lon"]).assign(date=date, n=n, s1=s1, s2=s2) for spots, at, date, n, s1, s2 in map(N._from_bytes, cells["blob"])])
+    by = ["lat", "lon", "date"]
+    pd.testing.assert_frame_equal(back.sort_values(by, ignore_index=True), p[back.columns].sort_values(by, ignore_index=True), check_dtype=False, check_exact=True)
+    q = p[p["date"] % 2 == 0].rename(columns={"lat": "q_lat", "lon": "q_lon"})[["date", "q_lat", "q_lon"]]
+    run, keys = N._matrix_sums((25.0, 50.0, 100.0), extra)[0], ["date", "q_lat", "q_lon", *extra]
+    pd.testing.assert_frame_equal(run(q, cells).sort_values(keys, ignore_index=True), run(q, p).sort_values(keys, ignore_index=True), check_dtype=False)
