@@ -221,3 +221,16 @@ def test_a_cell_goes_to_its_neighbours_in_few_bytes(extra):
     q = p[p["date"] % 2 == 0].rename(columns={"lat": "q_lat", "lon": "q_lon"})[["date", "q_lat", "q_lon"]]
     run, keys = N._matrix_sums((25.0, 50.0, 100.0), extra)[0], ["date", "q_lat", "q_lon", *extra]
     pd.testing.assert_frame_equal(run(q, cells).sort_values(keys, ignore_index=True), run(q, p).sort_values(keys, ignore_index=True), check_dtype=False)
+
+
+def test_rows_of_a_place_are_not_dealt_once_for_each_fold(spark, frame):
+    """The totals of a place's folds travel as one row; copies for the held-out folds arise where they are used."""
+    folded = frame.withColumn("fold", (F.col("sensor_id") % 3).cast("int"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = N.neighbor_features_per_fold(folded)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line and "q_lat" in line]
+    assert dealt and not any("fold_out" in line for line in dealt)
